@@ -1,7 +1,12 @@
 """Queries of the training-data operators over the test tables, and their oracles."""
 
-from spanwright.llm.plans_sample import ORACLES as _sample_oracles
-from spanwright.llm.plans_sample import QUERIES as _sample
+from importlib import import_module
 
-QUERIES = {**_sample}
-ORACLES = {**_sample_oracles}
+MODULES = ["plans_sample", "plans_packing"]
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+for _name in MODULES:
+    _module = import_module(f"spanwright.llm.{_name}")
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
