@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["plans_sample", "plans_packing"]
+MODULES = ["plans_sample", "plans_packing", "plans_leaks"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
