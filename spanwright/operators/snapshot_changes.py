@@ -17,6 +17,8 @@ from spanwright.functions.text import normalize
 
 CHANGES = np.array(["added", "removed", "changed"], dtype=object)
 _BUCKET_INPUT_BYTES = 64 << 20
+#: Up to so many headers, ids of last snapshots are collected; beyond, they are joined.
+MOST_HEADERS = 10_000
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -51,6 +53,21 @@ def last_snapshots(headers: DataFrame) -> DataFrame:
     return consecutive(headers).where("seq = n_snapshots").select("snapshot_id", "source")
 
 
+def last_documents(headers: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(source, doc_key, normalized_text)`` of the documents in the last snapshot of each source.
+
+    One row for each document: of several deliveries the latest, ties by text. The text is as delivered;
+    rows without ``doc_key`` are left out. The headers are few, so the ids go into the scan as a filter.
+    """
+    last = last_snapshots(headers)
+    ids = [r[0] for r in last.select("snapshot_id").collect()] if headers.count() <= MOST_HEADERS else None
+    rows = docs.select("snapshot_id", "doc_key", "normalized_text", "delivered_at").where("doc_key IS NOT NULL")
+    if ids is not None:
+        rows = rows.where(F.col("snapshot_id").isin(ids))
+    newest = rows.groupBy("snapshot_id", "doc_key").agg(F.max(F.struct("delivered_at", "normalized_text")).alias("d"))
+    return newest.join(last, "snapshot_id").select("source", "doc_key", F.col("d.normalized_text").alias("normalized_text"))
+
+
 def _bucket_changes(pdf: pd.DataFrame) -> pd.DataFrame:
     source = pd.factorize(pdf["source"])[0]
     seq, n = pdf["seq"].to_numpy(), pdf["n_snapshots"].to_numpy()
