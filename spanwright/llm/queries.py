@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["plans_sample", "plans_packing", "plans_leaks", "plans_spans"]
+MODULES = ["plans_sample", "plans_packing", "plans_leaks", "plans_spans", "plans_questions"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
