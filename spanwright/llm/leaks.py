@@ -25,6 +25,8 @@ RUN_WORDS = 30
 EDITS_PER_WORD = 0.1
 #: Passages in one pass over the corpus; the index of a pass is broadcast, so this bounds its size.
 BLOCK_ITEMS = 20_000
+#: Words searched at a time; bounds a worker's memory, not the result.
+CHUNK_WORDS = 250_000
 #: Passages that share an upper bound.
 GROUP_ITEMS = 16
 K1, B = 1.2, 0.75
@@ -198,6 +200,17 @@ def _spread(first: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row, np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[term] - (ends - size), size)
 
 
+def _verified(ix: PassageIndex, ids: np.ndarray, starts: np.ndarray, window: int, stride: int) -> list[tuple[int, int]]:
+    """``(passage, document)`` of the leaks into documents whose words stand in ``ids`` from ``starts`` on."""
+    doc, begin, item = ix.candidates(ids, starts, window, stride)
+    order = np.lexsort((begin, item, doc))
+    found: list[tuple[int, int]] = []
+    for d, b, i in zip(doc[order].tolist(), begin[order].tolist(), item[order].tolist(), strict=True):
+        if (not found or found[-1] != (i, d)) and ix.leaked(i, ids[starts[d] + b : min(starts[d] + b + window, starts[d + 1])]):
+            found.append((i, d))
+    return found
+
+
 def _searcher(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: PassageIndex = index.value
@@ -206,25 +219,19 @@ def _searcher(index):
         window = 2 * stride  # a run, with words added to it, always lies in one window
         known = ix.word_id.__getitem__
         for batch in batches:
+            docs, texts = batch.column(0).cast(pa.int64()), batch.column(1).to_pylist()
+            found: list[tuple[int, int]] = []
             ids: list[int] = []
-            starts = [0]
-            for text in batch.column(1).to_pylist():
+            starts, first = [0], 0
+            for k, text in enumerate(texts):
                 if text:
                     ids.extend(map(known, words(text)))
                 starts.append(len(ids))
-            ids_, starts_ = np.array(ids, np.int64), np.array(starts, np.int64)
-            found = []
-            if len(ids_):
-                doc, begin, item = ix.candidates(ids_, starts_, window, stride)
-                order = np.lexsort((begin, item, doc))
-                sure = None
-                for d, b, i in zip(doc[order].tolist(), begin[order].tolist(), item[order].tolist(), strict=True):
-                    if (d, i) != sure and ix.leaked(i, ids_[starts[d] + b : min(starts[d] + b + window, starts[d + 1])]):
-                        sure = (d, i)
-                        found.append(sure)
-            docs = batch.column(0).cast(pa.int64())
+                if len(ids) >= CHUNK_WORDS or k == len(texts) - 1:
+                    found += [(i, first + d) for i, d in _verified(ix, np.array(ids, np.int64), np.array(starts, np.int64), window, stride)]
+                    ids, starts, first = [], [0], k + 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ix.item_ids[[i for _, i in found]], pa.int64()), docs.take(pa.array([d for d, _ in found], pa.int64()))],
+                [pa.array(ix.item_ids[[i for i, _ in found]], pa.int64()), docs.take(pa.array([d for _, d in found], pa.int64()))],
                 ["item_id", "doc_id"],
             )
 
