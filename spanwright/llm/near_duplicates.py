@@ -1,8 +1,8 @@
 """Lightly edited copies among documents.
 
 A document is its sentences. Equal texts are one class. Each sentence has a 64-bit signature (a weighted
-SimHash of its words), in which small edits change few bits. Signatures within three bits are found by
-cutting them into two segments, of which one then differs by at most one bit: every segment is indexed in
+SimHash of its words), in which small edits change few bits. Signatures within five bits are found by
+cutting them into three segments, of which one then differs by at most one bit: every segment is indexed in
 its variants with one bit left out, variants are joined by equality, and the distance is verified. Two
 documents that share most sentences share one of their rarest, so only so many of each document's rarest
 sentences are indexed (prefix filter). Documents with linked sentences are candidates, and each candidate
@@ -28,10 +28,11 @@ RECURRING = 0.6
 #: Likeness (Dice, of their words) of two sentences that are the same but for edits.
 SENTENCE_LIKENESS = 0.75
 #: Share of linked sentences from which a pair is sure to become a candidate.
-LINKED = 0.15
-#: Bits by which the signatures of linked sentences may differ; two segments allow for three.
-DISTANCE = 3
-SEGMENTS, SEGMENT_BITS = 2, 32
+LINKED = 0.1
+#: Bits by which the signatures of linked sentences may differ, and the widths of the segments: with five
+#: bits over three segments, one segment has one of them at most.
+DISTANCE = 5
+SEGMENTS = (22, 21, 21)
 _LEAST_WORDS = 4
 _BUCKET_ROWS = 500_000
 _COMPARE = 2_000_000
@@ -53,8 +54,8 @@ class _WordTable(dict):
         h = (h ^ (h >> 33)) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF
         h = (h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53 & 0xFFFFFFFFFFFFFFFF
         self.hashes.append(h ^ (h >> 33))
-        # words that carry meaning weigh more than the short ones between them
-        self.weights.append(1.0 if len(word) <= 3 and not word.isdigit() else 2.0 if len(word) <= 6 else 3.0)
+        # numbers and long words tell sentences apart, the short ones between them don't
+        self.weights.append(4.0 if len(word) >= 8 or word.isdigit() else 2.0 if len(word) >= 5 else 1.0)
         return at
 
 
@@ -177,16 +178,16 @@ def near_duplicate_classes(classes: DataFrame, recurring: float = RECURRING, lin
     ranked = placed.join(frequency, "key").withColumn("before", F.coalesce(F.sum("times").over(rare_first), F.lit(0)))
     prefix = materialize(ranked.where(F.col("before") <= F.col("n") - F.ceil(linked * F.col("n"))).select("class", "n", "key", "signature"), "prefix")
     distinct = prefix.groupBy("key").agg(F.min("signature").alias("signature"))
-    mask = F.array(*(F.lit(b) for b in range(SEGMENT_BITS)))
-    low = (1 << SEGMENT_BITS) - 1
-    variants = None
-    for segment in range(SEGMENTS):
-        bits = F.shiftrightunsigned("signature", segment * SEGMENT_BITS).bitwiseAND(F.lit(low))
-        one = distinct.select("key", "signature", bits.alias("bits"), F.explode(mask).alias("bit")).select(
-            F.xxhash64(F.lit(segment), "bit", F.col("bits").bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, bit)")))).alias("variant"), "key", "signature"
+    variants, shift = None, 0
+    for segment, width in enumerate(SEGMENTS):
+        bits = F.shiftrightunsigned("signature", shift).bitwiseAND(F.lit((1 << width) - 1))
+        left_out = F.explode(F.array(*(F.lit(1 << b) for b in range(width))))
+        one = distinct.select("key", "signature", bits.alias("bits"), left_out.alias("bit")).select(
+            F.xxhash64(F.lit(segment), "bit", F.col("bits").bitwiseAND(F.bitwise_not("bit"))).alias("variant"), "key", "signature"
         )
         variants = one if variants is None else variants.unionByName(one)
-    rows = distinct.count() * SEGMENTS * SEGMENT_BITS
+        shift += width
+    rows = distinct.count() * shift
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // _BUCKET_ROWS)
     links = variants.groupBy(F.pmod("variant", F.lit(buckets)).alias("bucket")).applyInArrow(_link, "key bigint, family bigint").distinct()
     own = prefix.select("class", "n", F.col("key").alias("family"))
