@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["plans_sample", "plans_spans", "plans_duplicates", "plans_questions", "plans_packing", "plans_leaks"]
+MODULES = ["plans_sample", "plans_spans", "plans_duplicates", "plans_questions", "plans_packing", "plans_leaks", "plans_reading"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
