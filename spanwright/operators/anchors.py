@@ -137,24 +137,22 @@ def _stale_or_destroyed(missing: DataFrame, documents: DataFrame) -> DataFrame:
     )
     under = S.paragraphs(F.col("doc_text"), F.col("heading.start"), F.col("heading.end"))
     both = both.withColumn("under", F.when(F.col("heading").isNotNull() & F.col("doc_text").isNotNull(), under))
-    whole = F.when(
-        F.coalesce(F.size("under"), F.lit(0)) <= 0, S.paragraphs(F.col("doc_text"), F.lit(0), F.char_length("doc_text"))
-    )
-    fits = lambda p: S.context_hash(F.col("doc_text"), p["start"], p["end"]) == F.col("context_hash")
-    both = both.withColumn("whole", F.filter(whole, fits)).withColumn("fitting", F.filter("under", fits))
-    texts = F.transform("under", lambda p: p["text"])
-    suggestion = F.get("fitting", F.lit(0))["text"]
-    ordered = F.when(suggestion.isNotNull(), F.concat(F.array(suggestion), F.filter(texts, lambda t: t != suggestion))).otherwise(texts)
-    context_texts = F.transform("whole", lambda p: p["text"])
-    first_text = F.get(context_texts, F.lit(0))
-    by_context = F.concat(F.array(first_text), F.filter(context_texts, lambda t: t != first_text))
-    spans = F.when(F.size("under") > 0, ordered).when(F.size("whole") > 0, by_context)
-    return both.select(
+    is_under = F.coalesce(F.size("under"), F.lit(0)) > 0
+    whole = S.paragraphs(F.col("doc_text"), F.lit(0), F.char_length("doc_text"))
+    shown = both.withColumn("is_under", is_under).withColumn("p", F.explode(F.when(F.col("is_under"), F.col("under")).otherwise(whole)))
+    context = S.context_hash(F.col("doc_text"), F.col("p.start"), F.col("p.end"))
+    shown = shown.select("anchor_ord", "is_under", "p.start", "p.text", F.coalesce(context == F.col("context_hash"), F.lit(False)).alias("fits"))
+    # outside of the heading only what stands in the old context counts
+    shown = shown.where("is_under OR fits").groupBy("anchor_ord").agg(F.array_sort(F.collect_list(F.struct("start", "text", "fits"))).alias("c"))
+    texts = F.transform("c", lambda c: c["text"])
+    suggestion = F.get(F.filter("c", lambda c: c["fits"]), F.lit(0))["text"]
+    spans = F.when(suggestion.isNotNull(), F.concat(F.array(suggestion), F.filter(texts, lambda t: t != suggestion))).otherwise(texts)
+    return missing.select("anchor_ord", "heading_path").join(shown.select("anchor_ord", spans.alias("spans")), "anchor_ord", "left").select(
         "anchor_ord",
-        F.when(spans.isNotNull(), "stale").otherwise("destroyed").alias("resolution"),
+        F.when(F.col("spans").isNotNull(), "stale").otherwise("destroyed").alias("resolution"),
         F.lit(None).cast("struct<start:int,end:int>").alias("new_char_range"),
-        F.when(spans.isNotNull(), F.col("heading_path")).alias("new_heading_path"),
-        F.coalesce(spans, F.array().cast("array<string>")).alias("candidate_spans"),
+        F.when(F.col("spans").isNotNull(), F.col("heading_path")).alias("new_heading_path"),
+        F.coalesce("spans", F.array().cast("array<string>")).alias("candidate_spans"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["changes", "texts"]
+MODULES = ["changes", "texts", "anchoring"]
 
 
 def _merged(name: str) -> dict:

@@ -17,7 +17,11 @@ def strip(text: str) -> str:
 
 
 def normalize(text: str) -> str:
-    t = f"translate(nfc_normalize({text}), {_literal(FOLD_FROM + ZERO_WIDTH)}, {_literal(FOLD_TO)})"
+    return fold(f"nfc_normalize({text})")
+
+
+def fold(text: str) -> str:
+    t = f"translate({text}, {_literal(FOLD_FROM + ZERO_WIDTH)}, {_literal(FOLD_TO)})"
     t = f"regexp_replace({t}, '\\r\\n?', chr(10), 'g')"
     t = f"regexp_replace({t}, ' {{2,}}', ' ', 'g')"
     t = f"regexp_replace({t}, '(?m) +$', '', 'g')"
