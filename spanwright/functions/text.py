@@ -100,9 +100,12 @@ def technical_tokens(text: Column) -> Column:
     return F.regexp_extract_all(normalize(text), F.lit(TECHNICAL_TOKEN), F.lit(0))
 
 
-def missing_tokens(question: Column, span: Column) -> Column:
-    """The question's technical tokens that are no substring of the span; empty when all are there."""
-    return F.filter(technical_tokens(question), lambda t: ~F.contains(normalize(span), t))
+def missing_tokens(tokens: Column, normalized_span: Column) -> Column:
+    """Those of a question's technical tokens that are no substring of the normalized span; empty when all are there.
+
+    Both come from columns that were computed before: a lambda can't call the NFC function.
+    """
+    return F.when(normalized_span.isNotNull(), F.filter(tokens, lambda t: ~F.contains(normalized_span, t)))
 
 
 def canonical_sha256(column: Column) -> Column:

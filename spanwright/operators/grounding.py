@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.functions.text import missing_tokens, normalize
+from spanwright.functions.text import missing_tokens, normalize, technical_tokens
 
 RECALL_AT = (1, 3, 5, 10)
 
@@ -24,11 +24,14 @@ def grounding(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     """
     texts = anchors.where("anchor_ord IS NOT NULL").groupBy("anchor_ord").agg(F.max("span_text").alias("span_text"))
     one = candidates.where("candidate_id IS NOT NULL").groupBy("candidate_id").agg(F.max(F.struct("question", "anchor_ord", "quoted_span")).alias("c")).select("candidate_id", "c.*")
-    quoted = normalize(F.col("quoted_span"))
-    grounded = F.coalesce((quoted != "") & F.contains(normalize(F.col("span_text")), quoted), F.lit(False))
-    return one.join(texts, "anchor_ord", "left").select(
-        "candidate_id", grounded.alias("grounded"), missing_tokens(F.col("question"), F.col("span_text")).alias("missing")
+    joined = one.join(texts, "anchor_ord", "left").select(
+        "candidate_id",
+        technical_tokens(F.col("question")).alias("tokens"),
+        normalize(F.col("quoted_span")).alias("quoted"),
+        normalize(F.col("span_text")).alias("span"),
     )
+    grounded = F.coalesce((F.col("quoted") != "") & F.contains("span", F.col("quoted")), F.lit(False))
+    return joined.select("candidate_id", grounded.alias("grounded"), missing_tokens(F.col("tokens"), F.col("span")).alias("missing"))
 
 
 def retrieval_metrics(hits: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame:

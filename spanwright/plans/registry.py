@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["changes", "texts", "anchoring"]
+MODULES = ["changes", "texts", "anchoring", "study"]
 
 
 def _merged(name: str) -> dict:
