@@ -37,7 +37,10 @@ TECHNICAL_TOKEN_FORMS = [
     r"[A-Z]{2,}[0-9]+[A-Za-z0-9_]*",  # capitals and digits
     r"[A-Z]{3,}",  # acronym
 ]
-TECHNICAL_TOKEN = "(?:" + "|".join(TECHNICAL_TOKEN_FORMS).replace("{ws}", WS) + ")"
+#: Possessive quantifiers, where what follows can't match what they take, keep Java from trying in vain.
+TECHNICAL_TOKEN = re.sub(
+    r"(\[[^\]]*\](?:\*|\+|\{\d,\}))(?=\[|_|\(|0x)", r"\1+", "(?:" + "|".join(TECHNICAL_TOKEN_FORMS).replace("{ws}", WS) + ")"
+)
 
 
 @F.pandas_udf(StringType())

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spanwright.functions import spans as S
 from spanwright.functions.markdown import parse_headings
 from spanwright.functions.text import canonical_sha256, content_hash, normalize
+from spanwright.session import materialize
 
 _TOKEN = r"[\p{L}\p{N}_]+"
 _NOT_TOKEN = r"[^\p{L}\p{N}_]+"
@@ -168,9 +169,11 @@ def resolve(anchors: DataFrame, documents: DataFrame, rare_token: bool = True) -
     it is stale if text stands under its heading (in its document, else in the first document with such a
     heading) or, without, in its old context; else destroyed. A null doc_key is no document's.
     """
+    # both are read several times, and parsing or searching again would cost most of the work
+    documents = materialize(documents.select("source", "doc_key", "text", "headings"), "documents")
     one = distinct_anchors(anchors)
     sound = F.coalesce(content_hash(F.col("span_text")) == F.col("span_hash"), F.lit(False))
-    checked = one.withColumn("sound", sound)
+    checked = materialize(one.withColumn("sound", sound), "anchors")
     unresolvable = checked.where("NOT sound").select("anchor_ord", F.lit("span_text does not have span_hash").alias("reason"))
     good = checked.where("sound").drop("sound")
     matches = span_matches(good, documents, rare_token)
@@ -178,7 +181,7 @@ def resolve(anchors: DataFrame, documents: DataFrame, rare_token: bool = True) -
     is_other = ~F.coalesce(F.col("own_key") == F.col("doc_key"), F.lit(False))
     order = F.struct(is_other.alias("other"), "doc_key", "start", "end", "path", "context", "place")
     found = owned.groupBy("anchor_ord").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(order)).alias("m"))
-    joined = good.join(found, "anchor_ord", "left")
+    joined = materialize(good.join(found, "anchor_ord", "left"), "matches")
     m = F.get("m", F.lit(0))
     single = joined.where("n IS NOT NULL").withColumn("f", m)
     many = F.col("n") > 1
