@@ -122,7 +122,12 @@ def pack(sizes: np.ndarray, index: _Index, capacity: int) -> np.ndarray:
                     break
                 at += int(fits[0])
                 if room - near_sizes[at] < ordered[smallest]:
-                    break  # the last gap goes to the item that fits it best
+                    # the last gap goes to the item that fits it best, a neighbour if one fits as well
+                    best = ordered[unused(int(np.searchsorted(ordered, room, "right")) - 1)]
+                    alike = np.flatnonzero(near_sizes[at:] == best)
+                    if not len(alike):
+                        break
+                    at += int(alike[0])
                 take(near[at], k)
                 room -= int(near_sizes[at])
                 at += 1
