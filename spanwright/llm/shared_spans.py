@@ -299,7 +299,8 @@ class SharedSpans:
         refs = materialize(text_refs(documents, anchors, run), "refs")
         self.members = refs.select("ref", "doc_key", "is_anchor", "class", F.char_length("text").alias("n_chars")).distinct()
         # whole documents may be equal; of a class any text will do
-        self.classes = refs.select("class", "text").dropDuplicates(["class"]).withColumn("n_chars", F.char_length("text"))
+        classes = refs.select("class", "text").dropDuplicates(["class"]).withColumn("n_chars", F.char_length("text"))
+        self.classes = materialize(classes, "classes")  # both passes read it
 
     def _expand(self, pairs: DataFrame) -> DataFrame:
         """Pairs of classes as pairs of members ``x``, ``y``, each pair once; never two anchors, nor an anchor and its own document."""
