@@ -98,9 +98,14 @@ def content_hash(text: Column) -> Column:
     return F.sha2(normalize(text).cast("binary"), 256)
 
 
+#: A word of small letters that no token can begin in: the search steps over it at once.
+_PLAIN_WORD = r"[a-z]++(?![A-Za-z0-9_])(?![ ]*+[=:])"
+
+
 def technical_tokens(text: Column) -> Column:
     """Array of the technical tokens of a text, in order, with repeats."""
-    return F.regexp_extract_all(normalize(text), F.lit(TECHNICAL_TOKEN), F.lit(0))
+    found = F.regexp_extract_all(normalize(text), F.lit(f"{_PLAIN_WORD}|({TECHNICAL_TOKEN})"), F.lit(1))
+    return F.filter(found, lambda t: t != "")
 
 
 def missing_tokens(tokens: Column, normalized_span: Column) -> Column:

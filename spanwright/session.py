@@ -61,3 +61,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     """A test table by name; ``columns`` prunes the scan."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return df.select(*columns) if columns else df
+
+
+def clear_materialized(spark: SparkSession) -> None:
+    """Delete all tables that ``materialize`` wrote into the shared folder; DataFrames that read them end with this."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spanwright")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
