@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.functions.text import canonical_label
+from spanwright.llm.batches import by_size
 from spanwright.llm.prose import sentences
 from spanwright.session import materialize
 
@@ -73,7 +74,7 @@ _LINKS = "doc_id bigint, n_words int, nodes array<int>, weights array<float>"
 def _linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables = [_Nodes(k) for k in range(3)]
     shapes: dict[tuple[int, float], list[int]] = {}
-    for batch in batches:
+    for batch in by_size(batches):
         nodes: list[int] = []
         shape_nodes: list[int] = []
         words_of, shapes_of, totals = [0], [0], []
