@@ -29,7 +29,9 @@ _SLICES = 16
 #: A gram of more texts than this is split by its windows.
 HOT = 1000
 #: Characters worked on at a time, and rows of a bucket.
-_CHUNK, _BUCKET_ROWS = 1_000_000, 200_000
+_CHUNK, _BUCKET_ROWS = 1_000_000, 50_000
+#: Up to so many frequent grams are broadcast to be set apart.
+_MOST_HOT = 100_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -143,7 +145,7 @@ def repeated_cells(texts: DataFrame, run: int, width: int) -> np.ndarray:
     return np.concatenate([np.unpackbits(rows[k], axis=1) for k in range(_SLICES)], axis=1).astype(bool)
 
 
-def _occurrences(run: int, width: int, repeated):
+def _occurrences(run: int, width: int, repeated, found_only: bool):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         winnower, bits = Winnower(run), np.unpackbits(repeated.value, axis=1).astype(bool)
         gram_size = winnower.gram
@@ -157,6 +159,10 @@ def _occurrences(run: int, width: int, repeated):
             text, pos, gram = text[on], pos[on], gram[on]
             before = np.minimum(pos, side)
             around = [texts[t][p - b : p + run] for t, p, b in zip(text.tolist(), pos.tolist(), before.tolist(), strict=True)]
+            if found_only:  # in monotonous texts the same surroundings come again and again; once is enough for a pair
+                seen: set[tuple[int, int, str]] = set()
+                new = [k for k, x in enumerate(zip(text.tolist(), before.tolist(), around, strict=True)) if x not in seen and not seen.add(x)]
+                text, pos, gram, before, around = text[new], pos[new], gram[new], before[new], [around[k] for k in new]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(text)), pa.array(gram), pa.array(pos.astype(np.int32)), pa.array(before.astype(np.int32)), pa.array(around, pa.string())],
                 ["class", "gram", "pos", "before", "around"],
@@ -165,6 +171,7 @@ def _occurrences(run: int, width: int, repeated):
     return find
 
 
+_PAIR_COLUMNS = ("a", "a_start", "a_end", "b", "b_start", "b_end")
 _PAIRS = "a string, a_start int, a_end int, b string, b_start int, b_end int"
 
 
@@ -186,7 +193,12 @@ def _comparer(run: int, found_only: bool):
         table = table.combine_chunks().sort_by([("gram", "ascending"), ("class", "ascending"), ("pos", "ascending")])
         owner, pos = table.column("class").to_numpy(), table.column("pos").to_numpy()
         key, before = table.column("gram").to_numpy(), table.column("before").to_numpy()
+        again = np.append(False, key[1:] == key[:-1])
+        on = again | np.append(again[1:], False)  # grams of one text only, which the sketch let pass, go
+        table, owner, pos, key, before = table.filter(pa.array(on)), owner[on], pos[on], key[on], before[on]
         n = len(key)
+        if not n:
+            return pa.table({c: pa.array([], pa.string() if c in "ab" else pa.int32()) for c in _PAIR_COLUMNS})
         # characters by column, the gram from column `side` on; outside of a text nothing equals anything
         wide = np.empty((n, side + run), np.uint32)
         wide[:] = 0x110000 + np.arange(n, dtype=np.uint32)[:, None]
@@ -229,26 +241,30 @@ def _comparer(run: int, found_only: bool):
     return compare
 
 
-def _hot_pairs(hot: DataFrame, run: int) -> DataFrame:
-    """Pairs of the occurrences of very frequent grams, by exact equality of windows around them."""
+def _hot_pairs(hot: DataFrame, run: int, found_only: bool) -> DataFrame:
+    """Pairs of the occurrences of very frequent grams, by exact equality of windows around them.
+
+    For the runs themselves every place of a window is paired with one place in each other text, in both orders.
+    """
     start = F.explode(F.sequence(F.lit(0), F.char_length("around") - run))
     windows = (
         hot.where(F.char_length("around") >= run)
         .select("class", F.col("pos"), "before", "around", start.alias("k"))
         .select("class", (F.col("pos") - F.col("before") + F.col("k")).alias("start"), F.md5(F.substr("around", F.col("k") + 1, F.lit(run)).cast("binary")).alias("w"))
-        .groupBy("w", "class")
-        .agg(F.min("start").alias("start"))
     )
+    first = windows.groupBy("w", "class").agg(F.min("start").alias("start"))
     # windows that no other text has leave before the join
-    shared = windows.join(windows.groupBy("w").count().where("count > 1").select("w"), "w", "left_semi")
-    a, b = (shared.select("w", F.col("class").alias(x), F.col("start").alias(f"{x}_start"), (F.col("start") + run).alias(f"{x}_end")) for x in "ab")
-    return a.join(b, "w").where("a < b").select("a", "a_start", "a_end", "b", "b_start", "b_end")
+    repeated = first.groupBy("w").count().where("count > 1").select("w")
+    first = first.join(repeated, "w", "left_semi")
+    places = first if found_only else windows.distinct().join(repeated, "w", "left_semi")
+    a, b = (df.select("w", F.col("class").alias(x), F.col("start").alias(f"{x}_start"), (F.col("start") + run).alias(f"{x}_end")) for x, df in (("a", places), ("b", first)))
+    return a.join(b, "w").where("a < b" if found_only else "a <> b").select(*_PAIR_COLUMNS)
 
 
 def shared_runs(classes: DataFrame, run: int = RUN, found_only: bool = False, hot: int = HOT) -> DataFrame:
     """Runs of at least ``run`` characters that two different texts share.
 
-    ``classes(class, text, n_chars)`` holds distinct texts. A row is a pair of classes ``a < b`` and the part
+    ``classes(class, text, n_chars)`` holds distinct texts. A row is a pair of classes and the part
     of a shared run that lies around one of its grams, with its place in both; the parts of a pair together
     cover its runs. With ``found_only`` some parts of a pair may be left out, but no pair.
     """
@@ -261,14 +277,17 @@ def shared_runs(classes: DataFrame, run: int = RUN, found_only: bool = False, ho
     repeated = repeated_cells(long.select("text"), run, width)
     bits = spark.sparkContext.broadcast(np.packbits(repeated, axis=1))
     schema = "class string, gram bigint, pos int, before int, around string"
-    found = materialize(long.select("class", "text").mapInArrow(_occurrences(run, width, bits), schema).distinct(), "grams")
-    sizes = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    grouped = found.join(sizes, "gram")
-    rows = found.count()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // _BUCKET_ROWS)
-    few = grouped.where(F.col("n") <= hot).drop("n").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
+    found = materialize(long.select("class", "text").mapInArrow(_occurrences(run, width, bits, found_only), schema), "grams")
+    frequent = found.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram")
+    n_frequent = frequent.count()
+    few, many = found, found.limit(0)
+    if n_frequent:
+        frequent = F.broadcast(frequent) if n_frequent <= _MOST_HOT else frequent
+        few, many = found.join(frequent, "gram", "left_anti"), found.join(frequent, "gram", "left_semi")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // _BUCKET_ROWS)
+    few = few.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
     pairs = few.groupBy("bucket").applyInArrow(_comparer(run, found_only), _PAIRS)
-    return pairs.unionByName(_hot_pairs(grouped.where(F.col("n") > hot), run))
+    return pairs.unionByName(_hot_pairs(many, run, found_only)) if n_frequent else pairs
 
 
 def text_refs(documents: DataFrame, anchors: DataFrame, run: int = RUN) -> DataFrame:

@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from pyspark.sql import functions as F
+import pytest
 
 from spanwright.llm.leaks import PassageIndex, passage_leaks
 from spanwright.llm.near_duplicates import NearDuplicates
@@ -55,10 +55,11 @@ def test_shared_spans_like_brute_force(spark):
         assert set(got) == shared(docs, anchors, run) and len(got) == len(set(got))
 
 
-def test_coverage_like_brute_force(spark):
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_coverage_like_brute_force(spark, hot):
     docs, anchors = spans_fixture()
     run = 100
-    rows = {r.ref: r for r in spans_of(spark, docs, anchors, run=run).coverage().collect()}
+    rows = {r.ref: r for r in spans_of(spark, docs, anchors, run=run, hot=hot).coverage().collect()}
     refs = [(k, k, t) for k, t in docs if k and t] + [(f"anchor:{o}", k, t) for o, k, t in anchors if o is not None and t]
     for ref, key, t in refs:
         others = [u for k, u in docs if k and u and k != ref and (key is None or k != key)]
