@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.functions.text import normalize
+from spanwright.llm.batches import by_size
 from spanwright.llm.prose import sentences
 from spanwright.llm.words import words
 from spanwright.session import materialize
@@ -81,7 +82,7 @@ _SENTENCES = "class string, keys array<bigint>, signatures array<bigint>, sizes
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_size(batches):
         table = _WordTable()
         number = table.__getitem__
         ids: list[int] = []
@@ -161,14 +162,17 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares)], ["a", "b", "share"])
 
 
-def near_duplicate_classes(classes: DataFrame, recurring: float = RECURRING, linked: float = LINKED) -> DataFrame:
-    """Pairs ``(a, b, share)``, ``a < b``, of ``classes(class, text)`` that are edited copies of each other.
+def sentence_table(classes: DataFrame) -> DataFrame:
+    """The sentences of ``classes(class, text)``: keys, signatures and words, one row for each text that has any."""
+    return materialize(classes.select("class", "text").mapInArrow(_reader, _SENTENCES).where(F.size("keys") > 0), "sentences")
+
+
+def near_duplicate_classes(docs: DataFrame, recurring: float = RECURRING, linked: float = LINKED) -> DataFrame:
+    """Pairs ``(a, b, share)``, ``a < b``, of the texts of a ``sentence_table`` that are edited copies of each other.
 
-    ``share`` is the smaller of the two shares of sentences that recur in the other text. Texts without
-    sentences are no copies of anything.
+    ``share`` is the smaller of the two shares of sentences that recur in the other text.
     """
-    spark = classes.sparkSession
-    docs = materialize(classes.select("class", "text").mapInArrow(_reader, _SENTENCES).where(F.size("keys") > 0), "sentences")
+    spark = docs.sparkSession
     placed = docs.select(
         "class", F.size("keys").alias("n"), F.explode(F.arrays_zip("keys", "signatures")).alias("s")
     ).select("class", "n", F.col("s.keys").alias("key"), F.col("s.signatures").alias("signature"))
@@ -215,13 +219,12 @@ class NearDuplicates:
         texts = documents.select("doc_key", normalize(F.col("normalized_text")).alias("text")).dropna()
         rows = materialize(texts.withColumn("class", F.md5(F.col("text").cast("binary"))), "texts")
         self.members = rows.select("doc_key", "class").distinct()
-        self.classes = rows.select("class", "text").dropDuplicates(["class"])
-        self.links = materialize(near_duplicate_classes(self.classes, recurring, linked), "links")
+        self.sentences = sentence_table(rows.select("class", "text").dropDuplicates(["class"]))
+        self.links = materialize(near_duplicate_classes(self.sentences, recurring, linked), "links")
 
     def pairs(self) -> DataFrame:
         """Distinct ``(doc_key_a, doc_key_b)``, ``doc_key_a < doc_key_b``, of all copies."""
-        with_prose = self.classes.mapInArrow(_reader, _SENTENCES).where(F.size("keys") > 0).select("class")
-        copies = self.members.groupBy("class").count().where("count > 1").join(with_prose, "class", "left_semi")
+        copies = self.members.groupBy("class").count().where("count > 1").join(self.sentences.select("class"), "class", "left_semi")
         same = copies.select(F.col("class").alias("a"), F.col("class").alias("b"))
         x, y = (self.members.select(F.col("class").alias(c), F.col("doc_key").alias(k)) for c, k in (("a", "x"), ("b", "y")))
         joined = self.links.select("a", "b").unionByName(same).join(x, "a").join(y, "b").where("x <> y")
