@@ -208,4 +208,3 @@ def test_queries_registered():
 
     names = entry.queries()
     assert {f"p{n}_found" for n in (2, 3, 4, 5, 7, 8)} | {"p1_sample", "p6_pack"} <= set(names) and set(entry.oracle_sql()) <= set(names)
-    assert F is not None
