@@ -9,7 +9,7 @@ the same value whatever else is in the table. An anchor is chosen if its value l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.functions.text import canonical_label, canonical_sha256, py_strip
@@ -58,8 +58,10 @@ def stable_sample(observations: DataFrame, rate: float, seed: str = "spanwright"
     """Choose about ``rate`` of the anchors, with all their observations.
 
     Keeps every column of ``observations``, with ``span_hash``, ``resolution``, ``stratum`` and ``record``
-    in their one spelling. An observation is ``(cohort, span_hash, offset_days, observed_sha)``; delivered
-    more than once, it appears once, as in its latest batch (ties by time, then by the remaining values).
+    in their one spelling. An observation is ``(cohort, span_hash, offset_days, observed_sha, doc_key)``;
+    delivered more than once, it appears once, as in its latest batch (ties by time, then by the remaining
+    values). A row without ``doc_key`` is the observation of the one document known for its other four values;
+    where none or several are known, it stays an observation of an unknown document.
     An anchor without cohort or readable hash has no identifier: it is in no sample. A rate of 0 gives no
     row, a rate of 1 every anchor.
     """
@@ -71,7 +73,10 @@ def stable_sample(observations: DataFrame, rate: float, seed: str = "spanwright"
     ).where("cohort IS NOT NULL AND span_hash IS NOT NULL")
     top = permuted_top(F.col("span_hash"), F.col("cohort"), seed)
     chosen = tidy.where(top < F.lit(int(rate * (1 << RATE_BITS))))
-    key = ["cohort", "span_hash", "offset_days", "observed_sha"]
+    place = ["cohort", "span_hash", "offset_days", "observed_sha"]
+    known, least = (f(F.col("doc_key")).over(Window.partitionBy(*place)) for f in (F.max, F.min))
+    chosen = chosen.withColumn("doc_key", F.coalesce("doc_key", F.when(known == least, known)))
+    key = [*place, "doc_key"]
     rest = [c for c in observations.columns if c not in key]
     first = [c for c in ("batch", "written_at") if c in rest]
     ordered = first + [c for c in rest if c not in first]

@@ -57,6 +57,17 @@ def test_sample_of_dirty_rows(spark):
         stable_sample(spark.createDataFrame([], SCHEMA), 1.5)
 
 
+def test_sample_keeps_the_observation_of_each_document(spark):
+    def of(doc_key, batch, h="ab" * 32):
+        row = observation(1, h, batch=batch)
+        return (*row[:7], doc_key, *row[8:])
+
+    one, none = "cd" * 32, "ef" * 32
+    rows = [of("a.md", 0), of("b.md", 0), of("b.md", 3), of(None, 4), of("c.md", 0, one), of(None, 2, one), of(None, 1, none), of(None, 2, none)]
+    got = stable_sample(spark.createDataFrame(rows, SCHEMA), 1.0).collect()
+    assert sorted((r.span_hash[:2], r.doc_key or "", r.batch) for r in got) == [("ab", "", 4), ("ab", "a.md", 0), ("ab", "b.md", 3), ("cd", "c.md", 2), ("ef", "", 2)]
+
+
 def test_sample_query_has_an_oracle():
     assert "p1_sample" in plans_sample.ORACLES
 
