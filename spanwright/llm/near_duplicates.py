@@ -1,12 +1,12 @@
 """Lightly edited copies among documents.
 
-A document is its sentences. Equal texts are one class. Each sentence has a 64-bit signature (a weighted
-SimHash of its words), in which small edits change few bits. Signatures within five bits are found by
-cutting them into three segments, of which one then differs by at most one bit: every segment is indexed in
-its variants with one bit left out, variants are joined by equality, and the distance is verified. Two
-documents that share most sentences share one of their rarest, so only so many of each document's rarest
-sentences are indexed (prefix filter). Documents with linked sentences are candidates, and each candidate
-pair is verified on all its sentences.
+A document is its sentences. Equal texts are one class. Two sentences are alike if their words are, so alike
+sentences have two words in common among their rarest ones (prefix filter): each sentence is indexed by the
+pairs of these, pairs are joined by equality, and the distance of 128-bit signatures, in which a word more or
+less changes one bit, bounds how alike two sentences can be. Copies share most sentences, so of a document only
+so many sentences, those with the rarest words, need to be looked up among all. Documents that are linked often
+enough, seen from either side, are candidates, and each candidate pair is verified on all its sentences. Every
+filter is exact for the measure.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.functions.text import normalize
@@ -28,24 +28,22 @@ from spanwright.session import materialize
 RECURRING = 0.6
 #: Likeness (Dice, of their words) of two sentences that are the same but for edits.
 SENTENCE_LIKENESS = 0.75
-#: Share of linked sentences from which a pair is sure to become a candidate.
-LINKED = 0.1
-#: Bits by which the signatures of linked sentences may differ, and the widths of the segments: with five
-#: bits over three segments, one segment has one of them at most.
-DISTANCE = 5
-SEGMENTS = (22, 21, 21)
+#: Linked sentences that a candidate pair has at least, or all that have to recur; sets the work, not the result.
+LINKS = 2
+#: Cells in which words are counted, to order them; the counts are broadcast (1 MB).
+CELLS = 1 << 18
 _LEAST_WORDS = 4
-_BUCKET_ROWS = 500_000
-_COMPARE = 2_000_000
+#: A sentence of 16 words has 28 pairs of rare words.
+_BUCKET_SENTENCES = 2_000
+_COMPARE = 200_000
 
 
 class _WordTable(dict):
-    """Numbers words; keeps a 64-bit hash and a weight of each."""
+    """Numbers words; keeps a 64-bit hash of each."""
 
     def __init__(self):
         super().__init__()
         self.hashes: list[int] = []
-        self.weights: list[float] = []
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self.hashes)
@@ -55,30 +53,10 @@ class _WordTable(dict):
         h = (h ^ (h >> 33)) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF
         h = (h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53 & 0xFFFFFFFFFFFFFFFF
         self.hashes.append(h ^ (h >> 33))
-        # numbers and long words tell sentences apart, the short ones between them don't
-        self.weights.append(4.0 if len(word) >= 8 or word.isdigit() else 2.0 if len(word) >= 5 else 1.0)
         return at
 
 
-def _signatures(ids: np.ndarray, first: np.ndarray, table: _WordTable) -> tuple[np.ndarray, np.ndarray]:
-    """The signature and the exact key of sentences whose word numbers begin at ``first`` in ``ids``."""
-    hashes, weights = np.array(table.hashes, np.uint64), np.array(table.weights, np.float32)
-    signature, key = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
-    ends = np.append(first[1:], len(ids))
-    step = 4000
-    for lo in range(0, len(first), step):
-        part = ids[first[lo] : ends[min(lo + step, len(first)) - 1]]
-        at = first[lo : lo + step] - first[lo]
-        bits = np.unpackbits(hashes[part].view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1
-        sums = np.add.reduceat(bits * weights[part][:, None], at, axis=0)
-        signature[lo : lo + step] = np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
-        place = np.arange(len(part)) - np.repeat(at, np.diff(np.append(at, len(part))))
-        mixed = (hashes[part] + np.uint64(0x9E3779B97F4A7C15) * (place.astype(np.uint64) + np.uint64(1))) * np.uint64(0xFF51AFD7ED558CCD)
-        key[lo : lo + step] = np.add.reduceat(mixed ^ (mixed >> np.uint64(31)), at)
-    return signature.view(np.int64), key.view(np.int64)
-
-
-_SENTENCES = "class string, keys array<bigint>, signatures array<bigint>, sizes array<int>, words array<int>"
+_SENTENCES = "class string, sizes array<int>, words array<int>"
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,52 +74,141 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.extend(map(number, ws))
             of_text.append(len(first))
         ids_, first_, texts = np.array(ids, np.int64), np.array(first, np.int64), np.array(of_text, np.int32)
-        signature, key = _signatures(ids_, first_, table) if first else (np.zeros(0, np.int64),) * 2
         sizes = np.diff(np.append(first_, len(ids_))).astype(np.int32)
         short = np.array(table.hashes, np.uint64).astype(np.uint32).view(np.int32)
         word_offsets = np.append(first_, len(ids_))[texts].astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                pa.ListArray.from_arrays(texts, pa.array(key)),
-                pa.ListArray.from_arrays(texts, pa.array(signature)),
                 pa.ListArray.from_arrays(texts, pa.array(sizes)),
                 pa.ListArray.from_arrays(word_offsets, pa.array(short[ids_] if len(ids_) else np.zeros(0, np.int32))),
             ],
-            ["class", "keys", "signatures", "sizes", "words"],
+            ["class", "sizes", "words"],
         )
 
 
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often words stand in the cells; ``words`` is the only column."""
+    for batch in batches:
+        cell, n = np.unique(batch.column(0).flatten().to_numpy() & (CELLS - 1), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], ["cell", "n"])
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+_POSTINGS = "bucket int, key bigint, doc bigint, place int, times int, need int, size int, low bigint, high bigint"
+
+
+def _postings(frequency, recurring: float, buckets: int):
+    """Rows of ``(doc, sizes, words)`` as the pairs of rare words of their distinct sentences; ``need`` is 0 where a sentence isn't looked up."""
+    # pairs with one rarer word are in one bucket, so that a link found by several of them is counted once there;
+    # a sentence of n words that is alike has this part of them in common at least
+    common = SENTENCE_LIKENESS / (2 - SENTENCE_LIKENESS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = frequency.value
+        for batch in batches:
+            per_doc = np.diff(batch.column(1).offsets.to_numpy())
+            sizes, words_ = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            if not len(sizes):
+                continue
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((words_, counts[words_ & (CELLS - 1)], of))
+            of, word = of[order], words_[order]
+            new = np.append(True, (of[1:] != of[:-1]) | (word[1:] != word[:-1]))
+            of, word = of[new], word[new]
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            size = np.diff(np.append(first, len(of)))
+            mixed = _mix(word.view(np.uint32).astype(np.uint64) + np.uint64(1))
+            whole = np.add.reduceat(mixed, first)
+            bit = np.uint64(1) << (mixed & np.uint64(63))
+            upper = (mixed >> np.uint64(6) & np.uint64(1)).astype(bool)
+            low, high = (np.bitwise_xor.reduceat(np.where(on, bit, np.uint64(0)), first) for on in (~upper, upper))
+            prefix = np.minimum(size - np.ceil(common * size - 1e-9).astype(np.int64) + 2, size)
+            # pairs of the rarest words of each sentence, and an upper bound of the sentences that have them
+            pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            cost = np.zeros(len(size))
+            for p in np.unique(prefix).tolist():
+                at = np.flatnonzero(prefix == p)
+                place = first[at][:, None] + np.arange(p)
+                i, j = np.triu_indices(p, 1) if p > 1 else (np.zeros(1, np.int64),) * 2
+                cost[at] = counts[word[place[:, i]] & (CELLS - 1)].sum(axis=1)
+                key = _mix(mixed[place[:, i]] * np.uint64(0x9E3779B97F4A7C15) + mixed[place[:, j]])
+                pairs.append((np.repeat(at, len(i)), (mixed[place[:, i]] % np.uint64(buckets)).astype(np.int32).ravel(), key.ravel()))
+            # distinct sentences of a document, those of the rarest words first
+            doc = np.repeat(np.arange(len(per_doc)), per_doc)
+            order = np.lexsort((whole, cost, doc))
+            d, c, w = doc[order], cost[order], whole[order]
+            edge = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (c[1:] != c[:-1])))
+            times = np.diff(np.append(edge, len(order)))
+            recur = np.ceil(recurring * per_doc - 1e-9).astype(np.int64)
+            need = np.minimum(LINKS, recur)
+            before = edge - (np.cumsum(per_doc) - per_doc)[d[edge]]
+            looked_up = before < (per_doc - recur + need)[d[edge]]
+            one = np.full(len(size), -1, np.int64)
+            one[order[edge]] = np.arange(len(edge))
+            sentence, bucket, key = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            on = one[sentence] >= 0
+            sentence, bucket, key = sentence[on], bucket[on], key[on]
+            k = one[sentence]
+            columns = (
+                bucket, key.view(np.int64), batch.column(0).to_numpy()[doc[sentence]], before[k].astype(np.int32), times[k].astype(np.int32),
+                np.where(looked_up[k], need[doc[sentence]], 0).astype(np.int32), size[sentence].astype(np.int32),
+                low.view(np.int64)[sentence], high.view(np.int64)[sentence],
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], _names(_POSTINGS))
+
+    return run
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+_LINKS = "a bigint, b bigint, place int, times int, need int"
+
+
 def _link(table: pa.Table) -> pa.Table:
-    """Pairs of sentences with a variant in common whose signatures are within the distance."""
-    table = table.combine_chunks().sort_by([("variant", "ascending"), ("key", "ascending")])
-    variant, key, signature = (table.column(c).to_numpy() for c in ("variant", "key", "signature"))
-    first = np.flatnonzero(np.append(True, variant[1:] != variant[:-1]))
-    size = np.diff(np.append(first, len(variant)))
-    first, size = first[size > 1], size[size > 1]
-    out = [np.zeros((0, 2), np.int64)]
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        near = np.bitwise_count((signature[i] ^ signature[j]).view(np.uint64)) <= DISTANCE
-        near &= key[i] != key[j]
-        if near.any():
-            out.append(np.unique(np.stack([key[i][near], key[j][near]], axis=1), axis=0))
-
-    small = size <= 2000
-    pairs = np.cumsum(size[small] * (size[small] - 1) // 2)
-    cuts = np.searchsorted(pairs, np.arange(_COMPARE, int(pairs[-1]) + _COMPARE, _COMPARE)) + 1 if len(pairs) else np.zeros(0, np.int64)
-    for lo, hi in zip(np.append(0, cuts[:-1]), cuts, strict=True) if len(cuts) else ():
-        f, s = first[small][lo:hi], size[small][lo:hi]
-        row = np.repeat(f, s) + np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
-        later = np.repeat(f + s, s) - row - 1
-        i = np.repeat(row, later)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later) + i + 1
-        keep(i, j)
-    for f, s in zip(first[~small].tolist(), size[~small].tolist(), strict=True):
-        for i in range(f, f + s):  # a row of a large group at a time
-            keep(np.full(f + s - i - 1, i), np.arange(i + 1, f + s))
-    links = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"key": links[:, 1], "family": links[:, 0]})
+    """Sentences looked up, with the other documents that have a sentence within their distance."""
+    table = table.combine_chunks().sort_by("key")
+    key, doc, place, times, need, size, low, high = (table.column(c).to_numpy() for c in _names(_POSTINGS)[1:])
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    group = np.diff(np.append(first, len(key)))
+    first, group = np.repeat(first, group), np.repeat(group, group)
+    asked = np.flatnonzero((need > 0) & (group > 1))
+    out = [(np.zeros(0, np.int64),) * 2]
+
+    def distinct(a: np.ndarray, row_place: np.ndarray, b: np.ndarray) -> np.ndarray:
+        order = np.lexsort((b, row_place, a))
+        a, row_place, b = a[order], row_place[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (row_place[1:] != row_place[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        return order[new]
+
+    ends = np.cumsum(group[asked])
+    cuts = np.unique(np.searchsorted(ends, np.arange(_COMPARE, int(ends[-1]) + _COMPARE, _COMPARE)) + 1) if len(asked) else ()
+    lo = 0
+    for hi in cuts:
+        rows = asked[lo:hi]
+        g, lo = group[rows], hi
+        i = np.repeat(rows, g)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(g) - g, g) + np.repeat(first[rows], g)
+        apart = np.bitwise_count((low[i] ^ low[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((high[i] ^ high[j]).view(np.uint64))
+        on = (apart <= (1 - SENTENCE_LIKENESS) * (size[i] + size[j])) & (doc[i] != doc[j])
+        i, b = i[on], doc[j[on]]
+        on = distinct(doc[i], place[i], b)
+        out.append((i[on], b[on]))
+        if sum(len(o[0]) for o in out[1:]) > max(_COMPARE, 2 * len(out[0][0])):
+            i, b = (np.concatenate([o[k] for o in out]) for k in range(2))
+            on = distinct(doc[i], place[i], b)
+            out = [(i[on], b[on])]
+    i, b = (np.concatenate([o[k] for o in out]).astype(np.int64) for k in range(2))
+    on = distinct(doc[i], place[i], b)
+    i, b = i[on], b[on]
+    return pa.table({"a": doc[i], "b": b, "place": place[i], "times": times[i], "need": need[i]})
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,49 +230,36 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sentence_table(classes: DataFrame) -> DataFrame:
-    """The sentences of ``classes(class, text)``: keys, signatures and words, one row for each text that has any."""
-    return materialize(classes.select("class", "text").mapInArrow(_reader, _SENTENCES).where(F.size("keys") > 0), "sentences")
+    """The sentences of ``classes(class, text)``: their sizes and words, one row for each text that has any."""
+    return materialize(classes.select("class", "text").mapInArrow(_reader, _SENTENCES).where(F.size("sizes") > 0), "sentences")
 
 
-def near_duplicate_classes(docs: DataFrame, recurring: float = RECURRING, linked: float = LINKED) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, recurring: float = RECURRING) -> DataFrame:
     """Pairs ``(a, b, share)``, ``a < b``, of the texts of a ``sentence_table`` that are edited copies of each other.
 
     ``share`` is the smaller of the two shares of sentences that recur in the other text.
     """
     spark = docs.sparkSession
-    placed = docs.select(
-        "class", F.size("keys").alias("n"), F.explode(F.arrays_zip("keys", "signatures")).alias("s")
-    ).select("class", "n", F.col("s.keys").alias("key"), F.col("s.signatures").alias("signature"))
-    placed = placed.groupBy("class", "n", "key").agg(F.min("signature").alias("signature"), F.count("*").alias("times"))
-    frequency = placed.groupBy("key").agg(F.count("*").alias("df"))
-    rare_first = Window.partitionBy("class").orderBy("df", "key").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.join(frequency, "key").withColumn("before", F.coalesce(F.sum("times").over(rare_first), F.lit(0)))
-    prefix = materialize(ranked.where(F.col("before") <= F.col("n") - F.ceil(linked * F.col("n"))).select("class", "n", "key", "signature"), "prefix")
-    distinct = prefix.groupBy("key").agg(F.min("signature").alias("signature"))
-    variants, shift = None, 0
-    for segment, width in enumerate(SEGMENTS):
-        bits = F.shiftrightunsigned("signature", shift).bitwiseAND(F.lit((1 << width) - 1))
-        left_out = F.explode(F.array(*(F.lit(1 << b) for b in range(width))))
-        one = distinct.select("key", "signature", bits.alias("bits"), left_out.alias("bit")).select(
-            F.xxhash64(F.lit(segment), "bit", F.col("bits").bitwiseAND(F.bitwise_not("bit"))).alias("variant"), "key", "signature"
-        )
-        variants = one if variants is None else variants.unionByName(one)
-        shift += width
-    rows = distinct.count() * shift
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // _BUCKET_ROWS)
-    links = variants.groupBy(F.pmod("variant", F.lit(buckets)).alias("bucket")).applyInArrow(_link, "key bigint, family bigint").distinct()
-    own = prefix.select("class", "n", F.col("key").alias("family"))
-    other = prefix.select("class", "n", "key").join(links, "key").select("class", "n", "family")
-    families = materialize(own.unionByName(other).distinct(), "families")
-    a, b = (families.select("family", F.col("class").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    frequency = np.zeros(CELLS, np.int64)
+    for row in docs.select("words").mapInArrow(_counter, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        frequency[row["cell"]] = row["n"]
+    frequency = spark.sparkContext.broadcast(np.minimum(frequency, np.iinfo(np.int32).max).astype(np.int32))
+    keyed = docs.withColumn("doc", F.xxhash64("class"))
+    n_sentences = docs.agg(F.sum(F.size("sizes"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_sentences // _BUCKET_SENTENCES)
+    postings = keyed.select("doc", "sizes", "words").mapInArrow(_postings(frequency, recurring, buckets), _POSTINGS)
+    links = postings.groupBy("bucket").applyInArrow(_link, _LINKS)
+    # each pair as seen from its lesser and its greater document; one shuffle for both steps
+    sides = links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), (F.col("a") < F.col("b")).alias("lesser"), "place", "times", "need")
+    sides = sides.repartition("x", "y").distinct()
+    lesser, greater = (F.sum(F.when(on, F.col("times"))) >= F.max(F.when(on, F.col("need"))) for on in (F.col("lesser"), ~F.col("lesser")))
+    candidates = sides.groupBy("x", "y").agg((lesser & greater).alias("often")).where("often").select("x", "y")
+    n = F.size("sizes")
+    a, b = (keyed.select(F.col("doc").alias(k), F.col("class").alias(c), n.alias(f"n_{c}"), F.col("sizes").alias(f"{c}_sizes"), F.col("words").alias(f"{c}_words")) for k, c in (("x", "a"), ("y", "b")))
     like_size = F.least("n_a", "n_b") >= 0.8 * recurring * F.greatest("n_a", "n_b")
-    candidates = a.join(b, "family").where((F.col("a") < F.col("b")) & like_size).select("a", "b").distinct()
-    texts = docs.select("class", "sizes", "words")
-    with_texts = candidates.join(texts.withColumnsRenamed({"class": "a", "sizes": "a_sizes", "words": "a_words"}), "a").join(
-        texts.withColumnsRenamed({"class": "b", "sizes": "b_sizes", "words": "b_words"}), "b"
-    )
+    with_texts = candidates.join(a, "x").join(b, "y").where(like_size)
     compared = with_texts.select("a", "b", "a_sizes", "a_words", "b_sizes", "b_words").mapInArrow(_recurring, "a string, b string, share double")
-    return compared.where(F.col("share") >= recurring)
+    return compared.where(F.col("share") >= recurring).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "share")
 
 
 class NearDuplicates:
@@ -214,13 +268,13 @@ class NearDuplicates:
     Null keys and texts, and texts without a sentence of four words, have no copies. Repeated rows count once.
     """
 
-    def __init__(self, documents: DataFrame, recurring: float = RECURRING, linked: float = LINKED):
-        self.recurring, self.linked = recurring, linked
+    def __init__(self, documents: DataFrame, recurring: float = RECURRING):
+        self.recurring = recurring
         texts = documents.select("doc_key", normalize(F.col("normalized_text")).alias("text")).dropna()
         rows = materialize(texts.withColumn("class", F.md5(F.col("text").cast("binary"))), "texts")
         self.members = rows.select("doc_key", "class").distinct()
         self.sentences = sentence_table(rows.select("class", "text").dropDuplicates(["class"]))
-        self.links = materialize(near_duplicate_classes(self.sentences, recurring, linked), "links")
+        self.links = materialize(near_duplicate_classes(self.sentences, recurring), "links")
 
     def pairs(self) -> DataFrame:
         """Distinct ``(doc_key_a, doc_key_b)``, ``doc_key_a < doc_key_b``, of all copies."""

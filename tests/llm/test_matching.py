@@ -115,6 +115,20 @@ def test_near_duplicates(spark):
     assert groups["same"] == groups["a0"] == (2, 2) and groups["half1"] == (1, 0) and groups["table"] == (2, 0)
 
 
+def test_near_duplicates_with_every_sentence_edited(spark):
+    rnd = random.Random(11)
+    docs, want = [], set()
+    for k in range(30):
+        ss = [sentence(rnd) for _ in range(3 + k % 4)]
+        changed = [s.split(" ") for s in ss]
+        for n, w in enumerate(changed):
+            w[n + 2], w[10] = f"supervision{k}", str(rnd.randrange(10_000, 99_999))
+        docs += [(f"a{k}", " ".join(ss)), (f"b{k}", " ".join(" ".join(w) for w in changed))]
+        want.add((f"a{k}", f"b{k}"))
+    got = NearDuplicates(spark.createDataFrame(docs, "doc_key string, normalized_text string")).pairs().collect()
+    assert {(r.doc_key_a, r.doc_key_b) for r in got} == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert NearDuplicates(spark.createDataFrame([], "doc_key string, normalized_text string")).pairs().count() == 0
 
