@@ -254,10 +254,8 @@ def near_duplicate_classes(docs: DataFrame, recurring: float = RECURRING) -> Dat
     sides = sides.repartition("x", "y").distinct()
     lesser, greater = (F.sum(F.when(on, F.col("times"))) >= F.max(F.when(on, F.col("need"))) for on in (F.col("lesser"), ~F.col("lesser")))
     candidates = sides.groupBy("x", "y").agg((lesser & greater).alias("often")).where("often").select("x", "y")
-    n = F.size("sizes")
-    a, b = (keyed.select(F.col("doc").alias(k), F.col("class").alias(c), n.alias(f"n_{c}"), F.col("sizes").alias(f"{c}_sizes"), F.col("words").alias(f"{c}_words")) for k, c in (("x", "a"), ("y", "b")))
-    like_size = F.least("n_a", "n_b") >= 0.8 * recurring * F.greatest("n_a", "n_b")
-    with_texts = candidates.join(a, "x").join(b, "y").where(like_size)
+    a, b = (keyed.select(F.col("doc").alias(k), F.col("class").alias(c), F.col("sizes").alias(f"{c}_sizes"), F.col("words").alias(f"{c}_words")) for k, c in (("x", "a"), ("y", "b")))
+    with_texts = candidates.join(a, "x").join(b, "y")
     compared = with_texts.select("a", "b", "a_sizes", "a_words", "b_sizes", "b_words").mapInArrow(_recurring, "a string, b string, share double")
     return compared.where(F.col("share") >= recurring).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "share")
 

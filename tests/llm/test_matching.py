@@ -129,6 +129,14 @@ def test_near_duplicates_with_every_sentence_edited(spark):
     assert {(r.doc_key_a, r.doc_key_b) for r in got} == want
 
 
+def test_near_duplicates_of_repeated_sentences(spark):
+    rnd = random.Random(12)
+    once = [sentence(rnd) for _ in range(8)]
+    docs = [("once", " ".join(once)), ("thrice", " ".join(once * 3)), ("other", text(rnd, 8))]
+    got = NearDuplicates(spark.createDataFrame(docs, "doc_key string, normalized_text string")).pairs().collect()
+    assert [(r.doc_key_a, r.doc_key_b) for r in got] == [("once", "thrice")]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert NearDuplicates(spark.createDataFrame([], "doc_key string, normalized_text string")).pairs().count() == 0
 
