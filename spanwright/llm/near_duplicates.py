@@ -32,6 +32,7 @@ SENTENCE_LIKENESS = 0.75
 LINKS = 2
 #: Cells in which words are counted, to order them; the counts are broadcast (1 MB).
 CELLS = 1 << 18
+#: Sentences of fewer different words recur only with the same words.
 _LEAST_WORDS = 4
 #: A sentence of 16 words has 28 pairs of rare words.
 _BUCKET_SENTENCES = 2_000
@@ -69,7 +70,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1).to_pylist():
             for sentence in sentences(text or ""):
                 ws = words(sentence)
-                if len(ws) >= _LEAST_WORDS:
+                if ws:
                     first.append(len(ids))
                     ids.extend(map(number, ws))
             of_text.append(len(first))
@@ -224,7 +225,9 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sa, wa, sb, wb = (c[k].values.to_numpy() for c in (a_sizes, a_words, b_sizes, b_words))
             vocabulary, at = np.unique(np.concatenate([wa, wb]), return_inverse=True)
             a, b = matrix(sa, at[: len(wa)], len(vocabulary)), matrix(sb, at[len(wa) :], len(vocabulary))
-            alike = 2 * (a @ b.T) >= SENTENCE_LIKENESS * (a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :])
+            both, a_size, b_size = a @ b.T, a.sum(axis=1)[:, None], b.sum(axis=1)[None, :]
+            alike = 2 * both >= SENTENCE_LIKENESS * (a_size + b_size)
+            alike &= (np.minimum(a_size, b_size) >= _LEAST_WORDS) | (2 * both == a_size + b_size)
             shares[k] = min(alike.any(axis=1).mean(), alike.any(axis=0).mean())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares)], ["a", "b", "share"])
 
@@ -263,7 +266,7 @@ def near_duplicate_classes(docs: DataFrame, recurring: float = RECURRING) -> Dat
 class NearDuplicates:
     """Edited copies among ``documents(doc_key, normalized_text)``, one row for each document.
 
-    Null keys and texts, and texts without a sentence of four words, have no copies. Repeated rows count once.
+    Null keys and texts, and texts without a sentence (only tables, code or headings), have no copies. Repeated rows count once.
     """
 
     def __init__(self, documents: DataFrame, recurring: float = RECURRING):

@@ -137,6 +137,13 @@ def test_near_duplicates_of_repeated_sentences(spark):
     assert [(r.doc_key_a, r.doc_key_b) for r in got] == [("once", "thrice")]
 
 
+def test_near_duplicates_of_short_sentences(spark):
+    steps = "- Stop pump\n- Open valve\n- Wait\n- Close {}\n- Start pump\n"
+    docs = [("a", steps.format("valve")), ("b", steps.format("valve")), ("c", steps.format("tank")), ("d", "- Fill tank\n- Open lid now\n- Close valve now\n")]
+    got = NearDuplicates(spark.createDataFrame(docs, "doc_key string, normalized_text string")).pairs().collect()
+    assert {(r.doc_key_a, r.doc_key_b) for r in got} == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert NearDuplicates(spark.createDataFrame([], "doc_key string, normalized_text string")).pairs().count() == 0
 
