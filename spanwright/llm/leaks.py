@@ -4,9 +4,10 @@ The passages are indexed, block by block, with BM25 over shingles of three words
 into overlapping windows, each of them a query. As in block-max WAND a window is dropped as soon as an
 upper bound of its scores lies under the least score that a leak can have: first the sum of each term's
 best score over all passages, then the sum of its best score in each block of passages, and only the
-window-block pairs left over are scored in full. The least score of a passage is computed from it (any
-30 of its words with a tenth of them edited), so pruning loses no leak. Whatever reaches the score is
-verified by edit distance between the words.
+window-block pairs left over are scored in full. The least score of a passage is computed from it (the
+least edited 30 words of any run of 30 or more with a tenth of them edited), so pruning loses no leak.
+Whatever reaches the score is verified by edit distance between the words. Passages of one or two words
+have no shingle and are looked up as they are.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ class PassageIndex:
         number = self.word_id.setdefault
         self.texts = [np.array([number(w, len(self.word_id)) for w in ws], np.int64) for ws in texts]
         self.run = np.array([min(run_words, len(t)) for t in self.texts])
+        self.edits = np.array([self._most_edits(len(t), r) for t, r in zip(self.texts, self.run.tolist(), strict=True)])
+        self.short = {len_: self._short(len_) for len_ in range(1, SHINGLE)}
         n = len(self.texts)
         keys = [self.shingles(t) for t in self.texts]
         item = np.repeat(np.arange(n), [len(k) for k in keys])
@@ -62,7 +65,7 @@ class PassageIndex:
         self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.posting_item, self.posting_weight = item, weight
         self.best = np.maximum.reduceat(weight, self.first[:-1]) if len(weight) else weight
-        self.least = np.array([self._least_score(k, t, r) for k, t, r in zip(keys, self._weights(item, term, weight, n), self.run, strict=True)])
+        self.least = np.array([self._least_score(k, t, r, e) for k, t, r, e in zip(keys, self._weights(item, term, weight, n), self.run, self.edits, strict=True)])
         group = item // GROUP_ITEMS
         at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (group[1:] != group[:-1]))) if len(term) else np.zeros(0, np.int64)
         self.group_first = np.searchsorted(term[at], np.arange(len(self.terms) + 1))
@@ -84,10 +87,44 @@ class PassageIndex:
         return [dict(zip(self.terms[term[o]].tolist(), weight[o].tolist(), strict=True)) for o in np.split(order, cuts)] if n else []
 
     @staticmethod
-    def _least_score(keys: np.ndarray, weights: dict, run: int) -> float:
+    def _most_edits(words_: int, run: int) -> int:
+        """The most edits that the least edited ``run`` words of a longer run with enough equal words may have."""
+        return max((int(n * EDITS_PER_WORD) // (n // run) for n in range(run, words_ + 1) if run), default=0)
+
+    def _short(self, len_: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the passages of so few words, in order, and the passages."""
+        item = np.array([i for i, t in enumerate(self.texts) if len(t) == len_], np.int64)
+        key = np.array([self._short_keys(self.texts[i], len_)[0] for i in item], np.int64)
+        order = np.argsort(key, kind="stable")
+        return key[order], item[order]
+
+    @staticmethod
+    def _short_keys(ids: np.ndarray, len_: int) -> np.ndarray:
+        if len_ == 1:
+            return ids
+        return np.where((ids[:-1] < 0) | (ids[1:] < 0), -1, ids[:-1] << 21 | ids[1:])
+
+    def short_leaks(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
+        """``(passage, document)`` of the passages too short for a shingle."""
+        found: set[tuple[int, int]] = set()
+        for len_, (keys, items) in self.short.items():
+            if not len(keys) or len(ids) < len_:
+                continue
+            at = self._short_keys(ids, len_)
+            pos = np.flatnonzero(np.isin(at, keys))
+            doc = np.searchsorted(starts, pos, "right") - 1
+            inside = pos + len_ <= starts[doc + 1]
+            for d, k in set(zip(doc[inside].tolist(), at[pos[inside]].tolist(), strict=True)):
+                found |= {(i, d) for i in items[np.searchsorted(keys, k) : np.searchsorted(keys, k, "right")].tolist()}
+        return sorted(found)
+
+    @staticmethod
+    def _least_score(keys: np.ndarray, weights: dict, run: int, edits: int) -> float:
         """The least score of any run of words of a passage, after the worst edits it may have."""
+        if not len(keys):
+            return np.inf
         size = max(1, run - SHINGLE + 1)
-        lost = SHINGLE * int(run * EDITS_PER_WORD)
+        lost = SHINGLE * int(edits)
         least = np.inf
         keys = keys.tolist()
         for start in range(max(1, len(keys) - size + 1)):
@@ -159,7 +196,7 @@ class PassageIndex:
         return slot[on], term[on]
 
     def leaked(self, item: int, segment: np.ndarray) -> bool:
-        """Whether a run of the passage stands in a segment of words with few enough edits."""
+        """Whether a run of the passage, or a longer one, stands in a segment of words with few enough edits."""
         passage, run = self.texts[item], int(self.run[item])
         allowed = int(run * EDITS_PER_WORD)
         n, starts = len(segment), len(passage) - run + 1
@@ -167,7 +204,7 @@ class PassageIndex:
             return False
         equal = passage[:, None] == segment[None, :]
         there = np.cumsum(np.append(0, equal.any(axis=1)))
-        if (there[run:] - there[:-run]).max() < run - allowed:
+        if (there[run:] - there[:-run]).max() < run - int(self.edits[item]):
             return False
         # without shifts: enough equal words along one diagonal
         p, s = np.nonzero(equal)
@@ -178,18 +215,26 @@ class PassageIndex:
             along = np.cumsum(on)
             if (along[run:] - along[:-run]).max() >= run - allowed:
                 return True
-        # with shifts: edit distance of every run to its best place, all runs at once
+        # with shifts: edit distance of every run to its best place, all runs that begin somewhere at once
         begin, differ = np.arange(starts), (~equal).astype(np.int32)
+        most = np.floor((len(passage) - begin) * EDITS_PER_WORD + 1e-9)
         far = np.arange(n + 1, dtype=np.int32)
         row = np.zeros((starts, n + 1), np.int32)
-        for k in range(run):
+        for k in range(len(passage)):
+            on = begin + k < len(passage)
+            begin, most, row = begin[on], most[on], row[on]
             new = np.empty_like(row)
             new[:, 0] = row[:, 0] + 1
             new[:, 1:] = np.minimum(row[:, :-1] + differ[begin + k], row[:, 1:] + 1)
             row = np.minimum.accumulate(new - far, axis=1) + far
-            if row.min() > allowed:
+            best = row.min(axis=1)
+            if k + 1 >= run and best.min() <= int((k + 1) * EDITS_PER_WORD + 1e-9):
+                return True
+            on = best <= most
+            if not on.any():
                 return False
-        return bool(row.min() <= allowed)
+            begin, most, row = begin[on], most[on], row[on]
+        return False
 
 
 def _spread(first: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,16 +251,18 @@ def _verified(ix: PassageIndex, ids: np.ndarray, starts: np.ndarray, window: int
     order = np.lexsort((begin, item, doc))
     found: list[tuple[int, int]] = []
     for d, b, i in zip(doc[order].tolist(), begin[order].tolist(), item[order].tolist(), strict=True):
-        if (not found or found[-1] != (i, d)) and ix.leaked(i, ids[starts[d] + b : min(starts[d] + b + window, starts[d + 1])]):
+        # a longer run may go on before and after the window
+        around = len(ix.texts[i]) + int(len(ix.texts[i]) * EDITS_PER_WORD)
+        if (not found or found[-1] != (i, d)) and ix.leaked(i, ids[max(starts[d] + b - around, starts[d]) : min(starts[d] + b + window + around, starts[d + 1])]):
             found.append((i, d))
-    return found
+    return found + ix.short_leaks(ids, starts)
 
 
 def _searcher(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: PassageIndex = index.value
         longest = int(ix.run.max()) if len(ix.run) else 0
-        stride = longest + int(longest * EDITS_PER_WORD) + 1
+        stride = longest + (int(ix.edits.max()) if len(ix.run) else 0) + 1
         window = 2 * stride  # a run, with words added to it, always lies in one window
         known = ix.word_id.__getitem__
         for batch in batches:
@@ -244,7 +291,8 @@ def passage_leaks(
     """Distinct ``(item_id, doc_id)``: document ``doc_id`` holds passage ``item_id``, or ``run_words`` consecutive words of it.
 
     Words are compared without case, accents, markup, list marks and punctuation; up to one word in ten may
-    be changed, added or dropped. A passage of fewer words has to be there whole. Passages without id or
+    be changed, added or dropped, also where a longer run has more edits in these words. A passage of fewer
+    words has to be there whole. Passages without id or
     words, and documents without id or text, match nothing; rows delivered twice count once. The corpus is
     scanned once for every ``block_items`` passages, the stated query set, and never shuffled.
     """

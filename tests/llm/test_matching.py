@@ -203,6 +203,23 @@ def test_leaks(spark):
         assert set(got) == want and len(got) == len(set(got))
 
 
+def test_leaks_of_longer_runs_and_short_passages(spark):
+    rnd = random.Random(13)
+    passages = [(k, text(rnd, 6)) for k in range(6)] + [(50, "Zephyrine"), (51, "quokka burrow"), (52, "quokka warren")]
+    docs = [(1, "the quokka, burrow and"), (2, "a zephyrine day"), (3, "quokka"), (4, "burrow quokka")]
+    want = {(51, 1), (50, 2)}
+    for k, (length, edits) in enumerate([(40, 4), (45, 4), (50, 5), (85, 8), (40, 5), (50, 6)]):
+        part = passages[k][1].split(" ")[:length]
+        places = [26, 27, 28, 29, 55, 56, 57, 58] if edits == 8 else range(length // 2 - 3, length // 2 - 3 + edits)
+        for at in places:
+            part[at] = "changed"
+        docs.append((100 + k, f"{text(rnd, 3)} {' '.join(part)} {text(rnd, 3)}"))
+        if edits <= length // 10:
+            want.add((k, 100 + k))
+    d, p = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(passages, "item_id bigint, text string")
+    assert {(r.item_id, r.doc_id) for r in passage_leaks(d, p).collect()} == want
+
+
 def test_leaks_of_nothing(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, "some other text of a passage")], "item_id bigint, text string")
