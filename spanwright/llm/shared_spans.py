@@ -316,6 +316,7 @@ class SharedSpans:
     def __init__(self, documents: DataFrame, anchors: DataFrame, run: int = RUN, hot: int = HOT):
         self.run, self.hot = run, hot
         refs = materialize(text_refs(documents, anchors, run), "refs")
+        self.texts = text_refs(documents, anchors, 0)
         self.members = refs.select("ref", "doc_key", "is_anchor", "class", F.char_length("text").alias("n_chars")).distinct()
         # whole documents may be equal; of a class any text will do
         classes = refs.select("class", "text").dropDuplicates(["class"]).withColumn("n_chars", F.char_length("text"))
@@ -338,7 +339,7 @@ class SharedSpans:
         return all_pairs.select(F.least("x_ref", "y_ref").alias("ref_a"), F.greatest("x_ref", "y_ref").alias("ref_b")).distinct()
 
     def coverage(self) -> DataFrame:
-        """For each document and anchor the passages that other documents hold too, and their share of its text.
+        """For each document and anchor the passages that other documents hold too, and their share of its text, 0 where there are none.
 
         ``(ref, is_anchor, n_chars, spans ARRAY<STRUCT<start, end>>, covered, share)``; overlapping and
         adjoining passages are merged.
@@ -353,7 +354,7 @@ class SharedSpans:
             .unionByName(whole.where("NOT y_is_anchor").select(F.col("x_ref").alias("ref"), F.lit(0).alias("start"), F.lit(None).cast("int").alias("end")))
             .distinct()
         )
-        refs = self.members.groupBy("ref").agg(F.first("is_anchor").alias("is_anchor"), F.max("n_chars").alias("n_chars"))
+        refs = self.texts.select("ref", "is_anchor", F.char_length("text").alias("n_chars")).groupBy("ref").agg(F.first("is_anchor").alias("is_anchor"), F.max("n_chars").alias("n_chars"))
         parts = parts.join(refs, "ref").select("ref", "start", F.coalesce("end", "n_chars").alias("end"))
         sorted_parts = F.array_sort(F.collect_set(F.struct("start", "end")))
         merged = F.aggregate(
@@ -366,7 +367,8 @@ class SharedSpans:
         spans_of = parts.groupBy("ref").agg(merged.alias("spans"))
         covered = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"])
         return (
-            refs.join(spans_of, "ref")
+            refs.join(spans_of, "ref", "left")
+            .withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
             .withColumn("covered", covered)
-            .select("ref", "is_anchor", "n_chars", "spans", "covered", F.round(F.col("covered") / F.col("n_chars"), 6).alias("share"))
+            .select("ref", "is_anchor", "n_chars", "spans", "covered", F.when(F.col("n_chars") > 0, F.round(F.col("covered") / F.col("n_chars"), 6)).otherwise(F.lit(0.0)).alias("share"))
         )

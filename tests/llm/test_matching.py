@@ -70,6 +70,12 @@ def test_coverage_like_brute_force(spark, hot):
         assert (rows[ref].covered if ref in rows else 0) == len(covered), ref
 
 
+def test_coverage_names_what_shares_nothing(spark):
+    docs = [("a", text(random.Random(1), 4)), ("b", "short"), ("null", None)]
+    rows = spans_of(spark, docs, [(7, "a", "brief")]).coverage().collect()
+    assert {(r.ref, r.is_anchor, len(r.spans), r.covered, r.share) for r in rows} == {("a", False, 0, 0, 0.0), ("b", False, 0, 0, 0.0), ("anchor:7", True, 0, 0, 0.0)}
+
+
 def test_shared_spans_of_nothing(spark):
     assert spans_of(spark, [], []).pairs().count() == 0 and spans_of(spark, [], []).coverage().count() == 0
 
