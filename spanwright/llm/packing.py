@@ -192,9 +192,9 @@ def pack_texts(
     items = materialize(measured, "pack-items")
     cut = (
         items.where(F.col("piece") > 0)
-        .select("doc_id", F.explode(F.sequence(F.lit(0), F.col("piece") - 1)).alias("piece"))
+        .select("doc_id", F.expr("uuid()").alias("row"), F.explode(F.sequence(F.lit(0), F.col("piece") - 1)).alias("piece"))
         .select(
-            F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container_id"),
+            F.concat_ws("-", F.concat(F.lit("d"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "row", F.col("piece").cast("string")).alias("container_id"),
             "doc_id",
             "piece",
             (F.col("piece").cast("bigint") * capacity).alias("start_token"),

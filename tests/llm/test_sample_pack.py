@@ -126,6 +126,15 @@ def test_packing_puts_neighbours_together(spark):
     assert sum(len(t) == 1 for t in by.values()) >= len(by) - 2
 
 
+def test_packing_cuts_rows_of_one_id_apart(spark):
+    rows = [(1, "long " * 1000), (1, "long " * 1000), (None, "long " * 1000)]
+    packed = pack_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), capacity=256).collect()
+    used = defaultdict(int)
+    for r in packed:
+        used[r.container_id] += r.n_tokens
+    assert None not in used and max(used.values()) <= 256
+
+
 def test_packing_nothing(spark):
     assert pack_texts(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     repeated = spark.createDataFrame([(1, "same text")] * 3, "doc_id bigint, text string")
