@@ -260,3 +260,44 @@ def test_queries_registered():
 
     names = entry.queries()
     assert {f"p{n}_found" for n in (2, 3, 4, 5, 7, 8)} | {"p1_sample", "p6_pack"} <= set(names) and set(entry.oracle_sql()) <= set(names)
+
+
+def planted_edits(seed=21, n=40):
+    """Documents, and for each a copy with one to three words of every sentence replaced; ``edits`` words of at least 4 x ``edits``."""
+    rnd = random.Random(seed)
+    docs, want = [], set()
+    for k in range(n):
+        sentences_ = [[rnd.choice(NOUNS) + rnd.choice("abcdefghij") for _ in range(rnd.randint(12, 16))] for _ in range(rnd.randint(4, 14))]
+        edited = [list(s) for s in sentences_]
+        for s in edited:
+            for at in rnd.sample(range(len(s)), 1 + k % 3):
+                s[at] = rnd.choice((rnd.choice(NOUNS) + rnd.choice("abcdefghij"), f"n{rnd.randrange(10**6)}"))
+        rnd.shuffle(edited)
+        docs += [(f"a{k}", " ".join(" ".join(s).capitalize() + "." for s in sentences_)), (f"b{k}", " ".join(" ".join(s).capitalize() + "." for s in edited))]
+        want.add((f"a{k}", f"b{k}"))
+    return docs, want
+
+
+def test_near_duplicates_recall_with_words_of_every_sentence_replaced(spark):
+    docs, want = planted_edits()
+    got = {(r.doc_key_a, r.doc_key_b) for r in NearDuplicates(spark.createDataFrame(docs, "doc_key string, normalized_text string")).pairs().collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_near_duplicates_where_one_text_says_everything_more_often(spark):
+    rnd = random.Random(22)
+    once = [sentence(rnd) for _ in range(10)]
+    docs = [("a", " ".join(once)), ("b", " ".join(once + once[:8] + once[3:10])), ("c", " ".join(f"Go to {x}." for x in "abc" * 3))]
+    docs += [("d", " ".join(f"Press {x} twice." for x in NOUNS[:30])), ("e", " ".join(f"Press {x} twice." for x in NOUNS[2:30]) + " Wait here.")]
+    got = {(r.doc_key_a, r.doc_key_b) for r in NearDuplicates(spark.createDataFrame(docs, "doc_key string, normalized_text string")).pairs().collect()}
+    assert got == {("a", "b"), ("d", "e")}
+
+
+def test_near_duplicate_groups(spark):
+    rnd = random.Random(23)
+    parts = [[sentence(rnd) for _ in range(10)] for _ in range(2)]
+    chain = [" ".join(parts[0][: 10 - 2 * k] + [sentence(rnd) for _ in range(2 * k)]) for k in range(3)]
+    docs = [(f"c{k}", x) for k, x in enumerate(chain)] + [("same", chain[0]), ("lone", " ".join(parts[1])), ("null", None), (None, chain[0])]
+    rows = {r.doc_key: r for r in NearDuplicates(spark.createDataFrame(docs, "doc_key string, normalized_text string")).groups().collect()}
+    assert len({rows[k].group for k in ("c0", "c1", "same")}) == 1 and rows["lone"].group == rows["lone"]["class"] and rows["same"].n_copies == 2
+    assert set(rows) == {"c0", "c1", "c2", "same", "lone"}
