@@ -4,8 +4,10 @@ The passages are indexed, block by block, with BM25 over shingles of three words
 into overlapping windows, each of them a query. As in block-max WAND a window is dropped as soon as an
 upper bound of its scores lies under the least score that a leak can have: first the sum of each term's
 best score over all passages, then the sum of its best score in each block of passages, and only the
-window-block pairs left over are scored in full. The least score of a passage is computed from it (the
-least edited 30 words of any run of 30 or more with a tenth of them edited), so pruning loses no leak.
+window-block pairs left over are scored in full. A run of twice 30 words or more can be halved, and one
+half has its share of edits at most; so a leak has a run of 30 to 59 words, which a window holds whole.
+The least score of a passage is the least that any such run has after its worst edits, so pruning loses
+no leak.
 Whatever reaches the score is verified by edit distance between the words. Passages of one or two words
 have no shingle and are looked up as they are.
 """
@@ -13,19 +15,23 @@ have no shingle and are looked up as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanwright.llm.words import words
+from spanwright.session import materialize
 
 SHINGLE = 3
 RUN_WORDS = 30
 #: Words of a run that may be changed, added or dropped: one in ten.
 EDITS_PER_WORD = 0.1
-#: Passages in one pass over the corpus; the index of a pass is broadcast, so this bounds its size.
+#: Passages, and characters of them, in one pass over the corpus; the index of a pass is broadcast, so this bounds its size.
 BLOCK_ITEMS = 20_000
+BLOCK_CHARS = 20_000_000
 #: Words searched at a time; bounds a worker's memory, not the result.
 CHUNK_WORDS = 250_000
 #: Passages that share an upper bound.
@@ -48,8 +54,9 @@ class PassageIndex:
         self.word_id = _Numbers()
         number = self.word_id.setdefault
         self.texts = [np.array([number(w, len(self.word_id)) for w in ws], np.int64) for ws in texts]
-        self.run = np.array([min(run_words, len(t)) for t in self.texts])
-        self.edits = np.array([self._most_edits(len(t), r) for t, r in zip(self.texts, self.run.tolist(), strict=True)])
+        if len(self.word_id) >= 1 << 21:
+            raise ValueError("too many different words for one block of passages")
+        self.runs = [self._runs(len(t), run_words) for t in self.texts]
         self.short = {len_: self._short(len_) for len_ in range(1, SHINGLE)}
         n = len(self.texts)
         keys = [self.shingles(t) for t in self.texts]
@@ -65,7 +72,8 @@ class PassageIndex:
         self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.posting_item, self.posting_weight = item, weight
         self.best = np.maximum.reduceat(weight, self.first[:-1]) if len(weight) else weight
-        self.least = np.array([self._least_score(k, t, r, e) for k, t, r, e in zip(keys, self._weights(item, term, weight, n), self.run, self.edits, strict=True)])
+        weights = self._weights(item, term, weight, n)
+        self.least = np.array([min(self._least_score(k, w, r, e) for r, e in runs) if runs else np.inf for k, w, runs in zip(keys, weights, self.runs, strict=True)])
         group = item // GROUP_ITEMS
         at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (group[1:] != group[:-1]))) if len(term) else np.zeros(0, np.int64)
         self.group_first = np.searchsorted(term[at], np.arange(len(self.terms) + 1))
@@ -87,9 +95,12 @@ class PassageIndex:
         return [dict(zip(self.terms[term[o]].tolist(), weight[o].tolist(), strict=True)) for o in np.split(order, cuts)] if n else []
 
     @staticmethod
-    def _most_edits(words_: int, run: int) -> int:
-        """The most edits that the least edited ``run`` words of a longer run with enough equal words may have."""
-        return max((int(n * EDITS_PER_WORD) // (n // run) for n in range(run, words_ + 1) if run), default=0)
+    def _runs(words_: int, run_words: int) -> list[tuple[int, int]]:
+        """Lengths of runs, each with the most edits it may have, of which every leak of so long a passage has one."""
+        if words_ < run_words:
+            return [(words_, int(words_ * EDITS_PER_WORD))] if words_ else []
+        edits = [(n, int(n * EDITS_PER_WORD + 1e-9)) for n in range(run_words, min(2 * run_words, words_ + 1))]
+        return [e for k, e in enumerate(edits) if k == 0 or e[1] > edits[k - 1][1]]
 
     def _short(self, len_: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the passages of so few words, in order, and the passages."""
@@ -197,14 +208,15 @@ class PassageIndex:
 
     def leaked(self, item: int, segment: np.ndarray) -> bool:
         """Whether a run of the passage, or a longer one, stands in a segment of words with few enough edits."""
-        passage, run = self.texts[item], int(self.run[item])
-        allowed = int(run * EDITS_PER_WORD)
-        n, starts = len(segment), len(passage) - run + 1
-        if not n or not run:
+        passage, runs = self.texts[item], self.runs[item]
+        n = len(segment)
+        if not n or not runs:
             return False
+        run, allowed = runs[0]
+        starts = len(passage) - run + 1
         equal = passage[:, None] == segment[None, :]
         there = np.cumsum(np.append(0, equal.any(axis=1)))
-        if (there[run:] - there[:-run]).max() < run - int(self.edits[item]):
+        if all((there[r:] - there[:-r]).max() < r - e for r, e in runs):
             return False
         # without shifts: enough equal words along one diagonal
         p, s = np.nonzero(equal)
@@ -251,9 +263,7 @@ def _verified(ix: PassageIndex, ids: np.ndarray, starts: np.ndarray, window: int
     order = np.lexsort((begin, item, doc))
     found: list[tuple[int, int]] = []
     for d, b, i in zip(doc[order].tolist(), begin[order].tolist(), item[order].tolist(), strict=True):
-        # a longer run may go on before and after the window
-        around = len(ix.texts[i]) + int(len(ix.texts[i]) * EDITS_PER_WORD)
-        if (not found or found[-1] != (i, d)) and ix.leaked(i, ids[max(starts[d] + b - around, starts[d]) : min(starts[d] + b + window + around, starts[d + 1])]):
+        if (not found or found[-1] != (i, d)) and ix.leaked(i, ids[starts[d] + b : min(starts[d] + b + window, starts[d + 1])]):
             found.append((i, d))
     return found + ix.short_leaks(ids, starts)
 
@@ -261,8 +271,7 @@ def _verified(ix: PassageIndex, ids: np.ndarray, starts: np.ndarray, window: int
 def _searcher(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: PassageIndex = index.value
-        longest = int(ix.run.max()) if len(ix.run) else 0
-        stride = longest + (int(ix.edits.max()) if len(ix.run) else 0) + 1
+        stride = max((r + e for runs in ix.runs for r, e in runs), default=0) + 1
         window = 2 * stride  # a run, with words added to it, always lies in one window
         known = ix.word_id.__getitem__
         for batch in batches:
@@ -294,16 +303,21 @@ def passage_leaks(
     be changed, added or dropped, also where a longer run has more edits in these words. A passage of fewer
     words has to be there whole. Passages without id or
     words, and documents without id or text, match nothing; rows delivered twice count once. The corpus is
-    scanned once for every ``block_items`` passages, the stated query set, and never shuffled.
+    scanned once for every ``block_items`` passages, or ``BLOCK_CHARS`` of them, the stated query set, and
+    never shuffled.
     """
     spark: SparkSession = documents.sparkSession
     held = passages.select("item_id", "text").dropna().distinct()
-    blocks = max(1, -(-held.count() // block_items))
-    out = None
+    n, chars = held.agg(F.count("*"), F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_items), -(-chars // BLOCK_CHARS))
+    parts = []
     for k in range(blocks):
         rows = held.where(f"pmod(xxhash64(item_id), {blocks}) = {k}").orderBy("item_id", "text").collect()
         texts = [(r["item_id"], w) for r in rows if (w := words(r["text"]))]
         index = spark.sparkContext.broadcast(PassageIndex([i for i, _ in texts], [w for _, w in texts], run_words))
-        part = documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_searcher(index), "item_id bigint, doc_id bigint")
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+        part = documents.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(_searcher(index), "item_id bigint, doc_id bigint").distinct()
+        if blocks > 1:  # one index at a time
+            part = materialize(part, "leaks")
+            index.destroy()
+        parts.append(part)
+    return reduce(DataFrame.unionByName, parts)
