@@ -313,8 +313,11 @@ def near_duplicate_classes(docs: DataFrame, recurring: float = RECURRING) -> Dat
     sides = sides.repartition("x", "y").distinct()
     need = F.col("place").bitwiseAND(F.lit(255))
     lesser, greater = (F.count(F.when(on, 1)) >= F.max(F.when(on, need)) for on in (F.col("lesser"), ~F.col("lesser")))
-    candidates = sides.groupBy("x", "y").agg((lesser & greater).alias("often")).where("often").select("x", "y")
-    a, b = (keyed.select(F.col("doc").alias(k), F.col("class").alias(c), F.col("sizes").alias(f"{c}_sizes"), F.col("words").alias(f"{c}_words")) for k, c in (("x", "a"), ("y", "b")))
+    candidates = materialize(sides.groupBy("x", "y").agg((lesser & greater).alias("often")).where("often").select("x", "y"), "candidates")
+    # only the documents of candidates are shuffled
+    ids = candidates.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
+    needed = keyed.join(ids, "doc", "left_semi")
+    a, b = (needed.select(F.col("doc").alias(k), F.col("class").alias(c), F.col("sizes").alias(f"{c}_sizes"), F.col("words").alias(f"{c}_words")) for k, c in (("x", "a"), ("y", "b")))
     with_texts = candidates.join(a, "x").join(b, "y")
     compared = with_texts.select("a", "b", "a_sizes", "a_words", "b_sizes", "b_words").mapInArrow(_recurring, "a string, b string, share double")
     return compared.where(F.col("share") >= recurring).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "share")
