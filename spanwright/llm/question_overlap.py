@@ -1,60 +1,178 @@
 """Questions of evaluation splits that stand, exactly or almost, among training candidates.
 
-A question is the set of its folded words (the shingles; a word's inner letters are sorted, so swapped
-letters don't matter), weighted by rarity. A candidate asks a test's question if it holds enough of the
-test's weight and both have most words in common; the join is exact for that measure. Of every test only
-its rarest words are indexed, so many that any candidate holding enough weight must have one of them
-(prefix filter). Candidates probe with their words; pairs pass filters on length and on the position of
-their first common word, and are verified on the whole questions: the same numbers, codes, versions and
-settings, and the same names.
+A question is the set of its shingles, two words each, in order of their frequency, the rarest first. Two
+questions that have enough shingles in common have one among the rarest of each (prefix filter), so the
+rarest shingles of the evaluation questions are indexed and probed with the rarest of the candidates. A pair
+that meets passes filters on its sizes and on the positions of its first common shingle, and is verified on
+the whole questions. The filters are exact for the measure. Which shingles are rare is told by a count-min
+sketch of both sides, so ordering them takes no shuffle, and a sketch of the evaluation side keeps the
+probes that can't meet anything out of the join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanwright.functions.text import normalize
+from spanwright.llm import sketch
 from spanwright.session import materialize
 
-#: Share of a test's weight that a candidate must hold.
+SHINGLE = 2
+#: Shingles in common, as a share of the shingles of both.
+JACCARD = 0.45
+#: Share of a test's words, weighted by rarity, that a candidate must hold.
 CONTAINED = 0.6
-#: Words in common, as a share of the words of both.
-JACCARD = 0.55
+# Words of which a question asks the opposite with the other.
+OPPOSITES = (
+    ("before", "after"), ("above", "below"), ("first", "last"), ("minimum", "maximum"), ("least", "most"), ("enable", "disable"),
+    ("enabled", "disabled"), ("open", "close"), ("opens", "closes"), ("start", "stop"), ("starts", "stops"), ("on", "off"), ("with", "without"),
+    ("lock", "unlock"), ("locks", "unlocks"), ("increase", "decrease"), ("raise", "lower"), ("allowed", "forbidden"),
+)
+_SWAP_LETTERS = 6
+
+_WORD = re.compile(r"[\w=]+(?:[.:][\w=]+)*")
+_EXACT = re.compile(r"[\d_=:.]")
+_QUESTION = "q string, words array<string>, exact array<string>, names array<string>, shingles array<bigint>"
+
+
+def _hash(words: tuple[str, ...]) -> int:
+    h = 0xCBF29CE484222325
+    for b in " ".join(words).encode("utf-8", "surrogatepass"):
+        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h - (1 << 64) if h >> 63 else h
+
+
+class _Hashes(dict):
+    def __missing__(self, words: tuple[str, ...]) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[words] = _hash(words)
+        return h
+
+
+def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _Hashes()
+    for batch in batches:
+        columns: list[list] = [[], [], [], [], []]
+        for q in batch.column(0).to_pylist():
+            spelled = _WORD.findall(q)
+            if not spelled:
+                continue
+            lowered = [w.lower() for w in spelled]
+            one_case = q in (q.lower(), q.upper())
+            names = None if one_case else sorted({w.lower() for w in spelled[1:] if w[0].isupper() and not _EXACT.search(w)})
+            shingles = {hashes[s] for s in zip(*(lowered[k:] for k in range(SHINGLE)), strict=False)} or {hashes[tuple(lowered)]}
+            exact = sorted({w for w in lowered if _EXACT.search(w)})
+            for column, value in zip(columns, (q, sorted(set(lowered)), exact, names, sorted(shingles)), strict=True):
+                column.append(value)
+        types = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["q", "words", "exact", "names", "shingles"])
+
+
+def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Question texts in NFC, without outer and repeated white space."""
+    for batch in batches:
+        texts = [None if t is None else " ".join(unicodedata.normalize("NFC", t).split()) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "q"])
 
-_WORD = r"[\p{L}\p{N}_=]+(?:[.:][\p{L}\p{N}_=]+)*"
-_EXACT = r"[\p{N}_=:.]"
 
+def questions(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Members ``(id, q)`` and distinct questions of a table with a ``question``; null ids, null and empty questions are left out.
 
-def _fold_word(w: Column) -> Column:
-    """A word of letters with all but its first sorted; anything with digits, dots or signs as it is."""
-    letters = F.array_join(F.array_sort(F.split(F.substring(w, 2, 1000), "")), "")
-    return F.when(w.rlike(_EXACT), w).otherwise(F.concat(F.substring(w, 1, 1), letters))
+    ``exact`` are words with digits or signs, ``names`` words with a capital that don't begin the question;
+    null where the question is written in one case throughout, so that capitals say nothing.
+    """
+    rows = df.select(F.col(key).cast("string").alias("id"), "question").dropna().mapInArrow(_plain, "id string, q string").where("q <> ''")
+    members = materialize(rows.distinct(), f"questions-{key}")
+    return members, materialize(members.select("q").distinct().mapInArrow(_parser, _QUESTION), f"shingles-{key}")
 
 
-def _words(question: Column) -> Column:
-    return F.regexp_extract_all(question, F.lit(_WORD), F.lit(0))
+def _sketcher(width: int, first: int):
+    """Partial sketches of the shingles; slices are numbered from ``first`` on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = sketch.partial(batch.column(0).flatten().to_numpy(), width)
+            number = pa.array(part.column(0).to_numpy() + np.int32(first), pa.int32())
+            yield pa.RecordBatch.from_arrays([number, *part.columns[1:]], part.schema.names)
 
-def questions(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Members ``(key, q)`` and distinct questions ``(q, words, exact, names)`` of a table with a ``question``.
+    return run
 
-    ``names`` are words with a capital that don't begin the question; null where the question is written in
-    one case throughout, so that capitals say nothing.
-    """
-    text = F.regexp_replace(F.btrim(normalize(F.col("question"))), r"\s+", " ")
-    rows = df.select(F.col(key).alias(key), text.alias("q")).where(F.col(key).isNotNull() & (F.col("q") != "")).distinct()
-    one_case = (F.col("q") == F.lower("q")) | (F.col("q") == F.upper("q"))
-    capital = F.filter(F.slice(_words(F.col("q")), 2, 100_000), lambda w: w.rlike(r"^\p{Lu}") & ~w.rlike(_EXACT))
-    lowered = F.lower("q")
-    distinct = rows.select("q").distinct()
-    distinct = distinct.select(
-        "q",
-        F.array_distinct(F.transform(_words(lowered), _fold_word)).alias("words"),
-        F.array_sort(F.array_distinct(F.filter(_words(lowered), lambda w: w.rlike(_EXACT)))).alias("exact"),
-        F.when(~one_case, F.array_distinct(F.transform(capital, lambda w: _fold_word(F.lower(w))))).alias("names"),
-    )
-    return rows, distinct.where(F.size("words") > 0)
+
+_PREFIX = "shingle bigint, q string, position int, size int"
+
+
+def _prefix(levels, other, jaccard: float):
+    """Of questions ``(q, shingles)`` the rarest shingles, of which one must be shared, as far as ``other`` knows them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingle = batch.column(1).flatten().to_numpy()
+            size = np.diff(batch.column(1).offsets.to_numpy()).astype(np.int64)
+            of = np.repeat(np.arange(len(batch)), size)
+            order = np.lexsort((shingle, sketch.estimate(levels.value, shingle), of))
+            shingle = shingle[order]
+            position = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            on = position < (size - np.ceil(jaccard * size - 1e-9).astype(np.int64) + 1)[of]
+            if other is not None:
+                on &= sketch.estimate(other.value, shingle) > 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shingle[on]), batch.column(0).take(pa.array(of[on])), pa.array(position[on].astype(np.int32)), pa.array(size[of[on]].astype(np.int32))],
+                ["shingle", "q", "position", "size"],
+            )
+
+    return run
+
+
+def _swapped(a: str, b: str) -> bool:
+    """Whether two neighbouring letters have changed places."""
+    at = [k for k in range(len(a)) if a[k] != b[k]] if len(a) == len(b) else []
+    return len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]]
+
+
+def _verifier(levels, n: int, jaccard: float, contained: float):
+    """Pairs of ``(t, t_words, t_exact, t_names, t_shingles, c, ...)`` that ask the same."""
+
+    def known(word: str) -> float:
+        key = np.array([_hash(("word", word))], np.int64)
+        return max(1.0, float(sketch.counts_of(sketch.estimate(levels.value, key))[0]))
+
+    def same(t_words, t_names, t_shingles, c_words, c_shingles) -> bool:
+        common = len(set(t_shingles) & set(c_shingles))
+        if common < jaccard * (len(t_shingles) + len(c_shingles) - common) - 1e-9:
+            return False
+        t, c = set(t_words), set(c_words)
+        weight = {w: np.log((n + 1) / min(known(w), n)) ** 2 for w in t}
+        if sum(v for w, v in weight.items() if w in c) < contained * sum(weight.values()) - 1e-9:
+            return False
+        if any((x in t and y in c and y not in t and x not in c) or (y in t and x in c and x not in t and y not in c) for x, y in OPPOSITES):
+            return False
+        names = t_names or [max(sorted(weight), key=weight.get)]
+        # a longer name with two letters swapped counts if the word stands in no other question; short words become others
+        return all(m in c or (len(m) >= _SWAP_LETTERS and any(_swapped(m, w) and known(w) < 1.5 for w in c - t)) for m in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("t_words", "t_names", "t_shingles", "c_words", "c_shingles")]
+            on = pa.array([same(*row) for row in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("c")], ["t", "c"]).filter(on)
+
+    return run
+
+
+def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the words, in the shape of shingles."""
+    hashes = _Hashes()
+    for batch in batches:
+        words = batch.column(0)
+        flat = pa.array([hashes[("word", w)] for w in words.flatten().to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(words.offsets, flat)], ["shingles"])
 
 
 def question_overlaps(
@@ -62,58 +180,50 @@ def question_overlaps(
 ) -> DataFrame:
     """Distinct ``(candidate_id, test_id)`` of ``candidates(candidate_id, question)`` that ask what a test of ``tests(test_id, question)`` asks.
 
-    Differences of case, white space, punctuation, word order, articles, added phrases, swapped letters and
-    a few other words don't matter. Numbers, codes, versions and settings must be the same set; names of the
-    test must all be in the candidate (where a test's capitals say nothing, its rarest word is its name).
+    Differences of case, white space, punctuation, the order of clauses, articles, added phrases and a few
+    other words don't matter. Numbers, codes, versions and settings must be the same set; names of the test
+    must all be in the candidate (where a test's capitals say nothing, or there are none, its rarest word is its name), and
+    neither may hold the opposite of a word of the other.
     Null or empty questions and null ids match nothing; repeated rows count once; equal questions are
     compared once, as one.
     """
-    test_rows, test_questions = questions(tests, "test_id")
-    candidate_rows, candidate_questions = questions(candidates, "candidate_id")
-    t, c = materialize(test_questions, "tests"), materialize(candidate_questions, "candidates")
-    both = t.select("words").unionByName(c.select("words"))
-    n = both.count()
-    df = both.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
-    rarity = F.log(F.lit(float(n) + 1) / F.col("df"))
-    weighted = (
-        t.select("q", F.explode("words").alias("w"))
-        .join(df, "w")
-        .select("q", "w", (rarity * rarity).alias("weight"))
-    )
-    rare_first = Window.partitionBy("q").orderBy(F.desc("weight"), "w")
-    placed = weighted.select(
-        "q",
-        "w",
-        "weight",
-        F.row_number().over(rare_first).alias("position"),
-        F.sum("weight").over(Window.partitionBy("q")).alias("total"),
-        (F.sum("weight").over(rare_first) - F.col("weight")).alias("before"),
-    )
-    index = placed.where(F.col("before") <= (1 - contained) * F.col("total") + 1e-9)
-    index = index.join(t.select("q", F.size("words").alias("t_size")), "q").select(F.col("q").alias("t"), "w", "position", "t_size")
-    probe = c.select(F.col("q").alias("c"), F.size("words").alias("c_size"), F.explode("words").alias("w"))
-    sizes = (F.col("c_size") >= F.ceil(jaccard * F.col("t_size"))) & (F.col("t_size") >= F.ceil(jaccard * F.col("c_size")))
-    first = index.join(probe, "w").where(sizes).groupBy("t", "c", "t_size", "c_size").agg(F.min("position").alias("position"))
-    # words before the first common one aren't in common
-    needed = F.ceil(jaccard / (1 + jaccard) * (F.col("t_size") + F.col("c_size")))
-    pairs = first.where(F.col("t_size") - F.col("position") + 1 >= needed).select("t", "c")
-    weights = placed.groupBy("q").agg(
-        F.collect_list(F.struct("w", "weight")).alias("weights"), F.max("total").alias("total"), F.min(F.when(F.col("position") == 1, F.col("w"))).alias("rarest")
-    )
-    pairs = pairs.join(t.join(weights, "q").withColumnsRenamed({"q": "t", "words": "t_words", "exact": "t_exact", "names": "t_names"}), "t")
-    pairs = pairs.join(c.withColumnsRenamed({"q": "c", "words": "c_words", "exact": "c_exact", "names": "c_names"}), "c")
-    common = F.size(F.array_intersect("t_words", "c_words"))
-    held = F.aggregate("weights", F.lit(0.0), lambda acc, x: acc + F.when(F.array_contains(F.col("c_words"), x["w"]), x["weight"]).otherwise(F.lit(0.0)))
-    names = F.coalesce(F.col("t_names"), F.array("rarest"))
-    verified = pairs.where(
-        (F.col("t_exact") == F.col("c_exact"))
-        & (common >= jaccard * (F.size("t_words") + F.size("c_words") - common))
-        & (held >= contained * F.col("total"))
-        & (F.size(F.array_except(names, "c_words")) == 0)
-    ).select("t", "c")
-    return (
-        verified.join(test_rows.withColumnRenamed("q", "t"), "t")
-        .join(candidate_rows.withColumnRenamed("q", "c"), "c")
-        .select("candidate_id", "test_id")
-        .distinct()
+    context = tests.sparkSession.sparkContext
+    test_rows, t = questions(tests, "test_id")
+    candidate_rows, c = questions(candidates, "candidate_id")
+    n_tests, t_shingles = t.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
+    n_candidates, c_shingles = c.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
+    width = sketch.width_for(t_shingles + c_shingles)
+    slices = sketch.DEPTH * width // sketch.SLICE
+    both = t.select("shingles").unionByName(c.select("shingles"))
+    words = t.select("words").unionByName(c.select("words")).mapInArrow(_word_hashes, "shingles array<bigint>")
+    partials = (
+        both.mapInArrow(_sketcher(width, 0), sketch.PARTIALS)
+        .unionByName(t.select("shingles").mapInArrow(_sketcher(width, slices), sketch.PARTIALS))
+        .unionByName(words.mapInArrow(_sketcher(width, 2 * slices), sketch.PARTIALS))
     )
+    tables = np.split(sketch.merged(partials, 3 * width), 3)
+    levels, of_tests, of_words = (context.broadcast(x) for x in tables)
+    index = t.select("q", "shingles").mapInArrow(_prefix(levels, None, jaccard), _PREFIX)
+    probe = c.select("q", "shingles").mapInArrow(_prefix(levels, of_tests, jaccard), _PREFIX)
+
+    def named(df: DataFrame, side: str) -> DataFrame:
+        return df.select("shingle", *(F.col(x).alias(f"{side}_{x}") for x in ("q", "position", "size")))
+
+    t_size, c_size = F.col("t_size"), F.col("c_size")
+    sizes = (c_size >= F.ceil(F.lit(jaccard) * t_size - 1e-9)) & (t_size >= F.ceil(F.lit(jaccard) * c_size - 1e-9))
+    met = named(index, "t").join(named(probe, "c"), "shingle").where(sizes)
+    first = met.groupBy(F.col("t_q").alias("t"), F.col("c_q").alias("c"), "t_size", "c_size").agg(F.min("t_position").alias("i"), F.min("c_position").alias("j"))
+    # shingles before the first common one aren't in common
+    most = F.least(t_size - F.col("i"), c_size - F.col("j"))
+    pairs = first.where(most >= F.ceil(jaccard / (1 + jaccard) * (t_size + c_size) - 1e-9)).select("t", "c")
+
+    def whole(df: DataFrame, side: str, *columns: str) -> DataFrame:
+        return df.select(F.col("q").alias(side), *(F.col(x).alias(f"{side}_{x}") for x in columns))
+
+    joined = pairs.join(whole(t, "t", "words", "exact", "names", "shingles"), "t").join(whole(c, "c", "words", "exact", "shingles"), "c")
+    verified = joined.where("t_exact = c_exact").mapInArrow(_verifier(of_words, n_tests + n_candidates, jaccard, contained), "t string, c string")
+
+    def ids(df: DataFrame, side: str, key: str) -> DataFrame:
+        return df.select(F.col("q").alias(side), F.col("id").alias(key))
+
+    return verified.join(ids(test_rows, "t", "test_id"), "t").join(ids(candidate_rows, "c", "candidate_id"), "c").select("candidate_id", "test_id").distinct()
