@@ -3,15 +3,15 @@
 A run of 150 characters holds 76 overlapping grams of 75. Of each such window every text keeps the gram
 with the least hash, so two texts that share a run keep a common gram of it (winnowing): about one gram
 in 38 stands for all windows, and no shared run is lost. A count-min sketch of the kept grams, merged from
-the sketches of all partitions, overestimates how many texts hold a gram. The second pass sends on only
-grams that the sketch takes to be repeated, with the characters around them; these are grouped exactly,
-and every pair in a group is compared character by character to the left and right of the gram. A gram
-that very many texts hold is split further, by all windows of 150 characters around it.
+the sketches of all partitions, overestimates how many texts hold a gram; it grows with the grams. The second
+pass sends on only grams that the sketch takes to be repeated, with the characters around them; these are
+grouped exactly, and every pair in a group is compared character by character to the left and right of the
+gram. A gram that very many texts hold is split further, by all windows of 150 characters around it. As long
+as the sketch is small it is broadcast to the second pass, else grams are sent to its slices.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.functions.text import normalize
+from spanwright.llm import sketch
+from spanwright.llm.sketch import mix
 from spanwright.session import materialize
 
 RUN = 150
-#: Rows of the sketch, and the limits of their width; the merged sketch is broadcast as bits.
-DEPTH, LEAST_WIDTH, MOST_WIDTH = 2, 1 << 16, 1 << 25
-_SLICES = 16
 #: A gram of more texts than this is split by its windows.
 HOT = 1000
 #: Characters worked on at a time, and rows of a bucket.
@@ -35,12 +34,6 @@ _MOST_HOT = 100_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
     out[:1] = 1
@@ -89,7 +82,7 @@ class Winnower:
         if len(self.forth) < n:
             self.forth, self.back = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * self.back[:n])])
-        gram = _mix((sums[self.gram :] - sums[: -self.gram]) * self.forth[: n - self.gram + 1])
+        gram = mix((sums[self.gram :] - sums[: -self.gram]) * self.forth[: n - self.gram + 1])
         least = _sliding(gram, self.grams, np.minimum)  # of the windows of a run's length
         owner = np.repeat(np.arange(len(texts)), np.diff(np.append(0, ends)))
         crosses = np.arange(len(least)) + self.run > ends[owner[: len(least)]]
@@ -100,65 +93,38 @@ class Winnower:
         return text, at - np.append(0, ends)[text], gram[at].view(np.int64)
 
 
-def _cells(gram: np.ndarray, width: int) -> list[np.ndarray]:
-    """A gram's cell in each row of the sketch; ``width`` is a power of two."""
-    u = gram.view(np.uint64)
-    return [(_mix(u + np.uint64(row * 0x51ED2701)) & np.uint64(width - 1)).astype(np.int64) for row in range(DEPTH)]
-
-
 def _sketcher(run: int, width: int):
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         winnower = Winnower(run)
-        counts = np.zeros((DEPTH, width), np.uint8)
         for batch in batches:
             text, _, gram = winnower.kept(batch.column(0).to_pylist())
             # a text counts a gram once
             order = np.lexsort((gram, text))
             text, gram = text[order], gram[order]
             gram = gram[np.append(True, (text[1:] != text[:-1]) | (gram[1:] != gram[:-1]))] if len(gram) else gram
-            for row, cell in enumerate(_cells(gram, width)):
-                cell, times = np.unique(cell, return_counts=True)
-                counts[row, cell] = np.minimum(2, counts[row, cell] + times)
-        parts = np.split(counts, _SLICES, axis=1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(_SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["slice", "cells"]
-        )
+            yield sketch.partial(gram, width)
 
-    return sketch
+    return run_
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    total = None
-    for cells in table.column("cells").to_pylist():
-        part = np.frombuffer(zlib.decompress(cells), np.uint8)
-        total = part.copy() if total is None else np.minimum(2, total + part)
-    repeated = np.packbits(total.reshape(DEPTH, -1) >= 2, axis=1)
-    return pa.table({"slice": table.column("slice")[:1], "cells": pa.array([repeated.tobytes()], pa.binary())})
+_OCCURRENCES = "class string, gram bigint, pos int, before int, around string"
 
 
-def repeated_cells(texts: DataFrame, run: int, width: int) -> np.ndarray:
-    """The merged sketch as bits: which cells count two texts or more. At most ``DEPTH * MOST_WIDTH / 8`` bytes."""
-    merged = texts.mapInArrow(_sketcher(run, width), "slice int, cells binary").groupBy("slice").applyInArrow(_merge, "slice int, cells binary")
-    rows = {r["slice"]: np.frombuffer(r["cells"], np.uint8).reshape(DEPTH, -1) for r in merged.collect()}
-    if not rows:
-        return np.zeros((DEPTH, width), bool)
-    return np.concatenate([np.unpackbits(rows[k], axis=1) for k in range(_SLICES)], axis=1).astype(bool)
+def _around(texts: list[str], text: np.ndarray, pos: np.ndarray, run: int) -> tuple[np.ndarray, list[str]]:
+    """How many characters of the texts stand before the grams, half a run at most, and these with what follows."""
+    before = np.minimum(pos, run - run // 2)
+    return before, [texts[t][p - b : p + run] for t, p, b in zip(text.tolist(), pos.tolist(), before.tolist(), strict=True)]
 
 
-def _occurrences(run: int, width: int, repeated, found_only: bool):
+def _occurrences(run: int, bits, found_only: bool):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        winnower, bits = Winnower(run), np.unpackbits(repeated.value, axis=1).astype(bool)
-        gram_size = winnower.gram
-        side = run - gram_size
+        winnower = Winnower(run)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             text, pos, gram = winnower.kept(texts)
-            on = np.ones(len(gram), bool)
-            for row, cell in enumerate(_cells(gram, width)):
-                on &= bits[row, cell]
+            on = sketch.repeated(bits.value, gram)
             text, pos, gram = text[on], pos[on], gram[on]
-            before = np.minimum(pos, side)
-            around = [texts[t][p - b : p + run] for t, p, b in zip(text.tolist(), pos.tolist(), before.tolist(), strict=True)]
+            before, around = _around(texts, text, pos, run)
             if found_only:  # in monotonous texts the same surroundings come again and again; once is enough for a pair
                 seen: set[tuple[int, int, str]] = set()
                 new = [k for k, x in enumerate(zip(text.tolist(), before.tolist(), around, strict=True)) if x not in seen and not seen.add(x)]
@@ -171,6 +137,47 @@ def _occurrences(run: int, width: int, repeated, found_only: bool):
     return find
 
 
+def _placed_grams(run: int, width: int):
+    """All kept grams, with their slice and cells of the sketch."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        winnower = Winnower(run)
+        for batch in batches:
+            text, pos, gram = winnower.kept(batch.column(1).to_pylist())
+            at = sketch.cells(gram, width)
+            columns = [gram, pos.astype(np.int32), (at[0] // sketch.SLICE).astype(np.int32), *((c % sketch.SLICE).astype(np.int32) for c in at)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), *map(pa.array, columns)], ["class", "gram", "pos", "slice", *(f"cell{r}" for r in range(len(at)))])
+
+    return find
+
+
+def _surroundings(run: int):
+    """Occurrences from ``(class, text, grams ARRAY<STRUCT<pos, gram>>)``."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(2)
+            text = np.repeat(np.arange(len(batch)), np.diff(grams.offsets.to_numpy()))
+            pos, gram = (grams.flatten().field(k) for k in range(2))
+            before, around = _around(batch.column(1).to_pylist(), text, pos.to_numpy(), run)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(text)), gram, pos, pa.array(before.astype(np.int32)), pa.array(around, pa.string())], ["class", "gram", "pos", "before", "around"]
+            )
+
+    return find
+
+
+def _spread_occurrences(classes: DataFrame, run: int, partials: DataFrame, width: int) -> DataFrame:
+    """As ``_occurrences``, by a sketch that stays spread over its slices."""
+    cells = [f"cell{r}" for r in range(sketch.DEPTH)]
+    placed = classes.select("class", "text").mapInArrow(_placed_grams(run, width), "class string, gram bigint, pos int, slice int, " + ", ".join(f"{c} int" for c in cells))
+    slices = materialize(sketch.merged_slices(partials, bits=True), "sketch")
+    byte = "conv(hex(substring(data, {0} div 8 + 1, 1)), 16, 10)"
+    on = " AND ".join(f"shiftright(cast({byte.format(c)} AS int), 7 - {c} % 8) % 2 = 1" for c in cells)
+    kept = placed.join(slices.hint("merge"), "slice").where(on).groupBy("class").agg(F.collect_list(F.struct("pos", "gram")).alias("grams"))
+    return classes.select("class", "text").join(kept, "class").select("class", "text", "grams").mapInArrow(_surroundings(run), _OCCURRENCES)
+
+
 _PAIR_COLUMNS = ("a", "a_start", "a_end", "b", "b_start", "b_end")
 _PAIRS = "a string, a_start int, a_end int, b string, b_start int, b_end int"
 
@@ -241,53 +248,55 @@ def _comparer(run: int, found_only: bool):
     return compare
 
 
-def _hot_pairs(hot: DataFrame, run: int, found_only: bool) -> DataFrame:
-    """Pairs of the occurrences of very frequent grams, by exact equality of windows around them.
-
-    For the runs themselves every place of a window is paired with one place in each other text, in both orders.
-    """
+def _windows(occurrences: DataFrame, run: int) -> DataFrame:
+    """``(class, start, w)``: all windows of ``run`` characters around the grams, by their hash."""
     start = F.explode(F.sequence(F.lit(0), F.char_length("around") - run))
-    windows = (
-        hot.where(F.char_length("around") >= run)
+    return (
+        occurrences.where(F.char_length("around") >= run)
         .select("class", F.col("pos"), "before", "around", start.alias("k"))
         .select("class", (F.col("pos") - F.col("before") + F.col("k")).alias("start"), F.md5(F.substr("around", F.col("k") + 1, F.lit(run)).cast("binary")).alias("w"))
+        .distinct()
     )
-    first = windows.groupBy("w", "class").agg(F.min("start").alias("start"))
-    # windows that no other text has leave before the join
-    repeated = first.groupBy("w").count().where("count > 1").select("w")
-    first = first.join(repeated, "w", "left_semi")
-    places = first if found_only else windows.distinct().join(repeated, "w", "left_semi")
-    a, b = (df.select("w", F.col("class").alias(x), F.col("start").alias(f"{x}_start"), (F.col("start") + run).alias(f"{x}_end")) for x, df in (("a", places), ("b", first)))
-    return a.join(b, "w").where("a < b" if found_only else "a <> b").select(*_PAIR_COLUMNS)
 
 
-def shared_runs(classes: DataFrame, run: int = RUN, found_only: bool = False, hot: int = HOT) -> DataFrame:
-    """Runs of at least ``run`` characters that two different texts share.
+def _hot_pairs(hot: DataFrame, run: int) -> DataFrame:
+    """Pairs of texts that hold very frequent grams, by exact equality of windows around them."""
+    holders = _windows(hot, run).groupBy("w", "class").agg(F.min("start").alias("start"))
+    # windows that no other text has leave before the join
+    repeated = holders.groupBy("w").count().where("count > 1").select("w")
+    holders = holders.join(repeated, "w", "left_semi")
+    a, b = (holders.select("w", F.col("class").alias(x), F.col("start").alias(f"{x}_start"), (F.col("start") + run).alias(f"{x}_end")) for x in "ab")
+    return a.join(b, "w").where("a < b").select(*_PAIR_COLUMNS)
+
 
-    ``classes(class, text, n_chars)`` holds distinct texts. A row is a pair of classes and the part
-    of a shared run that lies around one of its grams, with its place in both; the parts of a pair together
-    cover its runs. With ``found_only`` some parts of a pair may be left out, but no pair.
-    """
+def _grouped(classes: DataFrame, run: int, found_only: bool, hot: int, most_bytes: int) -> tuple[DataFrame, DataFrame | None]:
+    """Occurrences of grams that may be repeated: those compared pair by pair, with a bucket, and the very frequent ones."""
     spark = classes.sparkSession
-    total = classes.where(F.col("n_chars") >= run).agg(F.sum("n_chars")).first()[0] or 0
-    width = LEAST_WIDTH
-    while width < min(MOST_WIDTH, 4 * total // (run // 4)):
-        width *= 2
     long = classes.where(F.col("n_chars") >= run)
-    repeated = repeated_cells(long.select("text"), run, width)
-    bits = spark.sparkContext.broadcast(np.packbits(repeated, axis=1))
-    schema = "class string, gram bigint, pos int, before int, around string"
-    found = materialize(long.select("class", "text").mapInArrow(_occurrences(run, width, bits, found_only), schema), "grams")
+    total = long.agg(F.sum("n_chars")).first()[0] or 0
+    width = sketch.width_for(2 * total // (run // 4), None)
+    partials = long.select("text").mapInArrow(_sketcher(run, width), sketch.PARTIALS)
+    if sketch.DEPTH * width <= 8 * most_bytes:
+        bits = spark.sparkContext.broadcast(sketch.merged(partials, width, bits=True))
+        found = long.select("class", "text").mapInArrow(_occurrences(run, bits, found_only), _OCCURRENCES)
+    else:
+        found = _spread_occurrences(long, run, partials, width)
+    found = materialize(found, "grams")
     frequent = found.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("gram")
     n_frequent = frequent.count()
-    few, many = found, found.limit(0)
+    few, many = found, None
     if n_frequent:
         frequent = F.broadcast(frequent) if n_frequent <= _MOST_HOT else frequent
         few, many = found.join(frequent, "gram", "left_anti"), found.join(frequent, "gram", "left_semi")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // _BUCKET_ROWS)
-    few = few.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
-    pairs = few.groupBy("bucket").applyInArrow(_comparer(run, found_only), _PAIRS)
-    return pairs.unionByName(_hot_pairs(many, run, found_only)) if n_frequent else pairs
+    return few.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets))), many
+
+
+def sharing_pairs(classes: DataFrame, run: int = RUN, hot: int = HOT, most_bytes: int = sketch.MOST_BYTES) -> DataFrame:
+    """Pairs ``(a, b)`` of different texts of ``classes(class, text, n_chars)`` that share a run; pairs may repeat."""
+    few, many = _grouped(classes, run, True, hot, most_bytes)
+    pairs = few.groupBy("bucket").applyInArrow(_comparer(run, True), _PAIRS)
+    return (pairs.unionByName(_hot_pairs(many, run)) if many is not None else pairs).select("a", "b")
 
 
 def text_refs(documents: DataFrame, anchors: DataFrame, run: int = RUN) -> DataFrame:
@@ -313,8 +322,8 @@ class SharedSpans:
     with each.
     """
 
-    def __init__(self, documents: DataFrame, anchors: DataFrame, run: int = RUN, hot: int = HOT):
-        self.run, self.hot = run, hot
+    def __init__(self, documents: DataFrame, anchors: DataFrame, run: int = RUN, hot: int = HOT, most_bytes: int = sketch.MOST_BYTES):
+        self.run, self.hot, self.most_bytes = run, hot, most_bytes
         refs = materialize(text_refs(documents, anchors, run), "refs")
         self.texts = text_refs(documents, anchors, 0)
         self.members = refs.select("ref", "doc_key", "is_anchor", "class", F.char_length("text").alias("n_chars")).distinct()
@@ -333,7 +342,7 @@ class SharedSpans:
 
     def pairs(self) -> DataFrame:
         """Distinct ``(ref_a, ref_b)``, ``ref_a < ref_b``, that share a run."""
-        between = shared_runs(self.classes, self.run, found_only=True, hot=self.hot).select("a", "b").distinct()
+        between = sharing_pairs(self.classes, self.run, self.hot, self.most_bytes).distinct()
         within = self.members.groupBy("class").count().where("count > 1").select(F.col("class").alias("a"), F.col("class").alias("b"))
         all_pairs = self._expand(between).unionByName(self._expand(within).where("x_ref < y_ref"))
         return all_pairs.select(F.least("x_ref", "y_ref").alias("ref_a"), F.greatest("x_ref", "y_ref").alias("ref_b")).distinct()
@@ -344,16 +353,29 @@ class SharedSpans:
         ``(ref, is_anchor, n_chars, spans ARRAY<STRUCT<start, end>>, covered, share)``; overlapping and
         adjoining passages are merged.
         """
-        runs = shared_runs(self.classes, self.run, hot=self.hot)
-        spans = self._expand(runs)
-        copies = self.members.groupBy("class").count().where("count > 1").select(F.col("class").alias("a"), F.col("class").alias("b"))
-        whole = self._expand(copies).where("x_ref <> y_ref")
+        few, many = _grouped(self.classes, self.run, False, self.hot, self.most_bytes)
+        runs = few.groupBy("bucket").applyInArrow(_comparer(self.run, False), _PAIRS)
+        ends = (F.struct(F.col(x).alias("class"), F.col(f"{x}_start").alias("start"), F.col(f"{x}_end").alias("end"), F.col(y).alias("holder")) for x, y in ("ab", "ba"))
+        sides = runs.select(F.explode(F.array(*ends)).alias("side")).select("side.*")
+        # which documents hold a text: two different ones tell for any owner whether another holds it
+        owners = self.members.where("NOT is_anchor").groupBy("class").agg(F.min("doc_key").alias("least"), F.max("doc_key").alias("greatest"))
+        other = F.col("least").isNotNull() & (F.col("doc_key").isNull() | (F.col("least") != F.col("doc_key")) | (F.col("greatest") != F.col("doc_key")))
+        held = self.members.select("ref", "doc_key", "class")
         parts = (
-            spans.where("NOT y_is_anchor").select(F.col("x_ref").alias("ref"), F.col("a_start").alias("start"), F.col("a_end").alias("end"))
-            .unionByName(spans.where("NOT x_is_anchor").select(F.col("y_ref").alias("ref"), F.col("b_start").alias("start"), F.col("b_end").alias("end")))
-            .unionByName(whole.where("NOT y_is_anchor").select(F.col("x_ref").alias("ref"), F.lit(0).alias("start"), F.lit(None).cast("int").alias("end")))
-            .distinct()
+            sides.join(owners.withColumnRenamed("class", "holder"), "holder")
+            .groupBy("class", "start", "end")
+            .agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+            .join(held, "class")
+            .where(other)
+            .select("ref", "start", "end")
+            .unionByName(held.join(owners, "class").where(other).select("ref", F.lit(0).alias("start"), F.lit(None).cast("int").alias("end")))
         )
+        if many is not None:
+            windows = materialize(_windows(many, self.run), "windows")
+            holders = windows.select("w", "class").distinct().join(owners, "class").groupBy("w").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+            places = windows.join(holders, "w").join(held, "class").where(other)
+            parts = parts.unionByName(places.select("ref", "start", (F.col("start") + self.run).alias("end")))
+        parts = parts.distinct()
         refs = self.texts.select("ref", "is_anchor", F.char_length("text").alias("n_chars")).groupBy("ref").agg(F.first("is_anchor").alias("is_anchor"), F.max("n_chars").alias("n_chars"))
         parts = parts.join(refs, "ref").select("ref", "start", F.coalesce("end", "n_chars").alias("end"))
         sorted_parts = F.array_sort(F.collect_set(F.struct("start", "end")))
