@@ -70,6 +70,33 @@ def test_coverage_like_brute_force(spark, hot):
         assert (rows[ref].covered if ref in rows else 0) == len(covered), ref
 
 
+def test_shared_spans_with_the_sketch_spread_over_its_slices(spark):
+    docs, anchors = spans_fixture()
+    got = {(r.ref_a, r.ref_b) for r in spans_of(spark, docs, anchors, run=60, most_bytes=0).pairs().collect()}
+    assert got == shared(docs, anchors, 60)
+
+
+def test_sketch_of_many_partitions(spark):
+    """A thousand partial sketches; no count is underestimated, and bits tell the same."""
+    import numpy as np
+
+    from spanwright.llm import sketch
+
+    def partials(batches):
+        for batch in batches:
+            yield sketch.partial(batch.column(0).to_numpy(), sketch.LEAST_WIDTH)
+
+    keys = spark.range(0, 6000, 1, 1000).selectExpr("xxhash64(id % 4000) AS k")
+    parts = keys.mapInArrow(partials, sketch.PARTIALS)
+    levels, bits = sketch.merged(parts, sketch.LEAST_WIDTH), sketch.merged(parts, sketch.LEAST_WIDTH, bits=True)
+    counts = {r.k: r["count"] for r in keys.groupBy("k").count().collect()}
+    k, n = np.array(list(counts), np.int64), np.array(list(counts.values()))
+    estimated = sketch.estimate(levels, k)
+    assert (estimated >= sketch.level(n)).all() and (estimated == sketch.level(n)).mean() > 0.98
+    assert (sketch.repeated(bits, k) == (estimated >= sketch.TWICE)).all()
+    assert sketch.partial(np.zeros(0, np.int64), sketch.LEAST_WIDTH).num_rows == 0
+
+
 def test_coverage_names_what_shares_nothing(spark):
     docs = [("a", text(random.Random(1), 4)), ("b", "short"), ("null", None)]
     rows = spans_of(spark, docs, [(7, "a", "brief")]).coverage().collect()
@@ -172,6 +199,19 @@ def test_questions(spark):
     assert got == {(f"c{k}", t) for k in range(len(same)) for t in ("t1", "t2")} | {(f"c{n + k}", f"u{k}") for k in range(40)}
 
 
+def test_questions_with_another_word_are_others(spark):
+    tests = [("t1", "When does the trial of the pump end?"), ("t2", "Which valve opens at the west gate before the alarm of the Belkarun boiler is heard?"), ("t3", "word"), ("t4", "Was?")]
+    candidates = [
+        ("c1", "When does the trail of the pump end?"),
+        ("c2", "Which valve opens at the west gate after the alarm of the Belkarun boiler is heard?"),
+        ("c3", "Word!"),
+        ("c4", "was"),
+        ("c5", "Before the alarm of the Belkarun boiler is heard, which valve opens at the west gate?"),
+    ]
+    got = question_overlaps(spark.createDataFrame(tests, "test_id string, question string"), spark.createDataFrame(candidates, "candidate_id string, question string"))
+    assert {(r.candidate_id, r.test_id) for r in got.collect()} == {("c3", "t3"), ("c4", "t4"), ("c5", "t2")}
+
+
 def test_questions_of_nothing(spark):
     tests, candidates = "test_id string, question string", "candidate_id string, question string"
     full = spark.createDataFrame([("t", "What is this?")], tests)
