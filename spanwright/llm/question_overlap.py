@@ -1,12 +1,13 @@
 """Questions of evaluation splits that stand, exactly or almost, among training candidates.
 
-A question is the set of its shingles, two words each, in order of their frequency, the rarest first. Two
-questions that have enough shingles in common have one among the rarest of each (prefix filter), so the
-rarest shingles of the evaluation questions are indexed and probed with the rarest of the candidates. A pair
-that meets passes filters on its sizes and on the positions of its first common shingle, and is verified on
-the whole questions. The filters are exact for the measure. Which shingles are rare is told by a count-min
-sketch of both sides, so ordering them takes no shuffle, and a sketch of the evaluation side keeps the
-probes that can't meet anything out of the join.
+A question is the set of its shingles, two words each, weighted by their rarity. A candidate asks a test's
+question if what they have in common is enough of the weight of either. So they have a shingle in common
+among the heaviest of each (prefix filter): the heaviest shingles of the evaluation questions are indexed and
+probed with the heaviest of the candidates, along with the numbers and codes, which must be the same. A pair
+that meets passes filters on its total weights and on the places of its first common shingle, and is verified
+on the whole questions. The filters are exact for the measure. Rarity is told by a count-min sketch of both
+sides, so ordering the shingles takes no shuffle, and a sketch of the evaluation side keeps the probes that
+can't meet anything out of the join.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,10 @@ from spanwright.llm import sketch
 from spanwright.session import materialize
 
 SHINGLE = 2
-#: Shingles in common, as a share of the shingles of both.
-JACCARD = 0.45
+#: Share of the weight of a test's shingles, and of a candidate's, that both have in common.
+CONTAINED, CARRIED = 0.45, 0.35
 #: Share of a test's words, weighted by rarity, that a candidate must hold.
-CONTAINED = 0.6
+WORDS_HELD = 0.6
 # Words of which a question asks the opposite with the other.
 OPPOSITES = (
     ("before", "after"), ("above", "below"), ("first", "last"), ("minimum", "maximum"), ("least", "most"), ("enable", "disable"),
@@ -38,14 +40,11 @@ _SWAP_LETTERS = 6
 
 _WORD = re.compile(r"[\w=]+(?:[.:][\w=]+)*")
 _EXACT = re.compile(r"[\d_=:.]")
-_QUESTION = "q string, words array<string>, exact array<string>, names array<string>, shingles array<bigint>"
+_QUESTION = "qid bigint, words array<string>, exact bigint, names array<string>, shingles array<bigint>"
 
 
 def _hash(words: tuple[str, ...]) -> int:
-    h = 0xCBF29CE484222325
-    for b in " ".join(words).encode("utf-8", "surrogatepass"):
-        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return h - (1 << 64) if h >> 63 else h
+    return int.from_bytes(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 class _Hashes(dict):
@@ -60,7 +59,7 @@ def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
         columns: list[list] = [[], [], [], [], []]
-        for q in batch.column(0).to_pylist():
+        for qid, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             spelled = _WORD.findall(q)
             if not spelled:
                 continue
@@ -68,11 +67,11 @@ def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one_case = q in (q.lower(), q.upper())
             names = None if one_case else sorted({w.lower() for w in spelled[1:] if w[0].isupper() and not _EXACT.search(w)})
             shingles = {hashes[s] for s in zip(*(lowered[k:] for k in range(SHINGLE)), strict=False)} or {hashes[tuple(lowered)]}
-            exact = sorted({w for w in lowered if _EXACT.search(w)})
-            for column, value in zip(columns, (q, sorted(set(lowered)), exact, names, sorted(shingles)), strict=True):
+            exact = _hash(tuple(sorted({w for w in lowered if _EXACT.search(w)})))
+            for column, value in zip(columns, (qid, sorted(set(lowered)), exact, names, sorted(shingles)), strict=True):
                 column.append(value)
-        types = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["q", "words", "exact", "names", "shingles"])
+        types = (pa.int64(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["qid", "words", "exact", "names", "shingles"])
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,14 +82,14 @@ def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def questions(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Members ``(id, q)`` and distinct questions of a table with a ``question``; null ids, null and empty questions are left out.
+    """Members ``(id, qid)`` and distinct questions of a table with a ``question``; null ids, null and empty questions are left out.
 
-    ``exact`` are words with digits or signs, ``names`` words with a capital that don't begin the question;
-    null where the question is written in one case throughout, so that capitals say nothing.
+    ``exact`` is a hash of the words with digits or signs, ``names`` are words with a capital that don't begin
+    the question; null where the question is written in one case throughout, so that capitals say nothing.
     """
     rows = df.select(F.col(key).cast("string").alias("id"), "question").dropna().mapInArrow(_plain, "id string, q string").where("q <> ''")
-    members = materialize(rows.distinct(), f"questions-{key}")
-    return members, materialize(members.select("q").distinct().mapInArrow(_parser, _QUESTION), f"shingles-{key}")
+    rows = materialize(rows.withColumn("qid", F.xxhash64("q")), f"questions-{key}")
+    return rows.select("id", "qid"), materialize(rows.select("qid", "q").dropDuplicates(["qid"]).mapInArrow(_parser, _QUESTION), f"shingles-{key}")
 
 
 def _sketcher(width: int, first: int):
@@ -105,26 +104,38 @@ def _sketcher(width: int, first: int):
     return run
 
 
-_PREFIX = "shingle bigint, q string, position int, size int"
+def _weights(levels: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """Weights of shingles or words by how many of ``n`` questions have them."""
+    return np.log((n + 1) / np.clip(sketch.counts_of(sketch.estimate(levels, keys)), 1, n)) ** 2
 
 
-def _prefix(levels, other, jaccard: float):
-    """Of questions ``(q, shingles)`` the rarest shingles, of which one must be shared, as far as ``other`` knows them."""
+_PREFIX = "shingle bigint, exact bigint, qid bigint, before double, total double"
+
+
+def _prefix(levels, other, n: int, least: float):
+    """Of questions ``(qid, exact, shingles)`` the heaviest shingles, of which one must be shared, as far as ``other`` knows them.
+
+    ``before`` is the weight of a question's heavier shingles, ``total`` that of all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shingle = batch.column(1).flatten().to_numpy()
-            size = np.diff(batch.column(1).offsets.to_numpy()).astype(np.int64)
-            of = np.repeat(np.arange(len(batch)), size)
-            order = np.lexsort((shingle, sketch.estimate(levels.value, shingle), of))
-            shingle = shingle[order]
-            position = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-            on = position < (size - np.ceil(jaccard * size - 1e-9).astype(np.int64) + 1)[of]
+            shingle = batch.column(2).flatten().to_numpy()
+            of = np.repeat(np.arange(len(batch)), np.diff(batch.column(2).offsets.to_numpy()))
+            weight = _weights(levels.value, shingle, n)
+            order = np.lexsort((shingle, -weight, of))
+            shingle, weight = shingle[order], weight[order]
+            total = np.bincount(of, weights=weight, minlength=len(batch))
+            sums = np.cumsum(weight) - weight
+            first = np.searchsorted(of, np.arange(len(batch)))
+            before = sums - sums[np.minimum(first, max(len(of) - 1, 0))][of] if len(of) else sums
+            on = before <= (1 - least) * total[of] + 1e-6
             if other is not None:
                 on &= sketch.estimate(other.value, shingle) > 0
+            at = pa.array(of[on])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shingle[on]), batch.column(0).take(pa.array(of[on])), pa.array(position[on].astype(np.int32)), pa.array(size[of[on]].astype(np.int32))],
-                ["shingle", "q", "position", "size"],
+                [pa.array(shingle[on]), batch.column(1).take(at), batch.column(0).take(at), pa.array(before[on]), pa.array(total[of[on]])],
+                ["shingle", "exact", "qid", "before", "total"],
             )
 
     return run
@@ -136,26 +147,30 @@ def _swapped(a: str, b: str) -> bool:
     return len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]]
 
 
-def _verifier(levels, n: int, jaccard: float, contained: float):
-    """Pairs of ``(t, t_words, t_exact, t_names, t_shingles, c, ...)`` that ask the same."""
+def _verifier(levels, word_levels, n: int, contained: float, carried: float):
+    """Pairs of ``(t, t_words, t_names, t_shingles, c, ...)`` that ask the same."""
+
+    def weights(words: list[str]) -> np.ndarray:
+        return _weights(word_levels.value, np.array([_hash(("word", w)) for w in words], np.int64), n)
 
-    def known(word: str) -> float:
-        key = np.array([_hash(("word", word))], np.int64)
-        return max(1.0, float(sketch.counts_of(sketch.estimate(levels.value, key))[0]))
+    def unknown(word: str) -> bool:
+        """Whether a word stands in one question only."""
+        return sketch.counts_of(sketch.estimate(word_levels.value, np.array([_hash(("word", word))], np.int64)))[0] < 1.5
 
     def same(t_words, t_names, t_shingles, c_words, c_shingles) -> bool:
-        common = len(set(t_shingles) & set(c_shingles))
-        if common < jaccard * (len(t_shingles) + len(c_shingles) - common) - 1e-9:
+        t_weight, c_weight = (_weights(levels.value, np.array(x, np.int64), n) for x in (t_shingles, c_shingles))
+        common = t_weight[np.isin(t_shingles, c_shingles)].sum()
+        if common < contained * t_weight.sum() - 1e-6 or common < carried * c_weight.sum() - 1e-6:
             return False
         t, c = set(t_words), set(c_words)
-        weight = {w: np.log((n + 1) / min(known(w), n)) ** 2 for w in t}
-        if sum(v for w, v in weight.items() if w in c) < contained * sum(weight.values()) - 1e-9:
+        weight = weights(t_words)
+        if weight[[w in c for w in t_words]].sum() < WORDS_HELD * weight.sum() - 1e-6:
             return False
         if any((x in t and y in c and y not in t and x not in c) or (y in t and x in c and x not in t and y not in c) for x, y in OPPOSITES):
             return False
-        names = t_names or [max(sorted(weight), key=weight.get)]
+        names = t_names or [t_words[int(weight.argmax())]]
         # a longer name with two letters swapped counts if the word stands in no other question; short words become others
-        return all(m in c or (len(m) >= _SWAP_LETTERS and any(_swapped(m, w) and known(w) < 1.5 for w in c - t)) for m in names)
+        return all(m in c or (len(m) >= _SWAP_LETTERS and any(_swapped(m, w) and unknown(w) for w in c - t)) for m in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +191,7 @@ def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def question_overlaps(
-    tests: DataFrame, candidates: DataFrame, contained: float = CONTAINED, jaccard: float = JACCARD
+    tests: DataFrame, candidates: DataFrame, contained: float = CONTAINED, carried: float = CARRIED
 ) -> DataFrame:
     """Distinct ``(candidate_id, test_id)`` of ``candidates(candidate_id, question)`` that ask what a test of ``tests(test_id, question)`` asks.
 
@@ -188,11 +203,12 @@ def question_overlaps(
     compared once, as one.
     """
     context = tests.sparkSession.sparkContext
+    context = tests.sparkSession.sparkContext
     test_rows, t = questions(tests, "test_id")
     candidate_rows, c = questions(candidates, "candidate_id")
-    n_tests, t_shingles = t.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
-    n_candidates, c_shingles = c.agg(F.count("*"), F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()
-    width = sketch.width_for(t_shingles + c_shingles)
+    counted = t.select(F.lit(1).alias("t"), F.size("shingles").alias("n")).unionByName(c.select(F.lit(0).alias("t"), F.size("shingles").alias("n")))
+    n, shingles = counted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    width = sketch.width_for(shingles)
     slices = sketch.DEPTH * width // sketch.SLICE
     both = t.select("shingles").unionByName(c.select("shingles"))
     words = t.select("words").unionByName(c.select("words")).mapInArrow(_word_hashes, "shingles array<bigint>")
@@ -201,29 +217,26 @@ def question_overlaps(
         .unionByName(t.select("shingles").mapInArrow(_sketcher(width, slices), sketch.PARTIALS))
         .unionByName(words.mapInArrow(_sketcher(width, 2 * slices), sketch.PARTIALS))
     )
-    tables = np.split(sketch.merged(partials, 3 * width), 3)
-    levels, of_tests, of_words = (context.broadcast(x) for x in tables)
-    index = t.select("q", "shingles").mapInArrow(_prefix(levels, None, jaccard), _PREFIX)
-    probe = c.select("q", "shingles").mapInArrow(_prefix(levels, of_tests, jaccard), _PREFIX)
+    levels, of_tests, of_words = (context.broadcast(x) for x in np.split(sketch.merged(partials, 3 * width), 3))
+    index = t.select("qid", "exact", "shingles").mapInArrow(_prefix(levels, None, n, contained), _PREFIX)
+    probe = c.select("qid", "exact", "shingles").mapInArrow(_prefix(levels, of_tests, n, carried), _PREFIX)
 
     def named(df: DataFrame, side: str) -> DataFrame:
-        return df.select("shingle", *(F.col(x).alias(f"{side}_{x}") for x in ("q", "position", "size")))
+        return df.select("shingle", "exact", *(F.col(x).alias(f"{side}_{x}") for x in ("qid", "before", "total")))
 
-    t_size, c_size = F.col("t_size"), F.col("c_size")
-    sizes = (c_size >= F.ceil(F.lit(jaccard) * t_size - 1e-9)) & (t_size >= F.ceil(F.lit(jaccard) * c_size - 1e-9))
-    met = named(index, "t").join(named(probe, "c"), "shingle").where(sizes)
-    first = met.groupBy(F.col("t_q").alias("t"), F.col("c_q").alias("c"), "t_size", "c_size").agg(F.min("t_position").alias("i"), F.min("c_position").alias("j"))
-    # shingles before the first common one aren't in common
-    most = F.least(t_size - F.col("i"), c_size - F.col("j"))
-    pairs = first.where(most >= F.ceil(jaccard / (1 + jaccard) * (t_size + c_size) - 1e-9)).select("t", "c")
+    # the least weight that both must have in common; shingles before the first common one aren't in common
+    needed = F.greatest(contained * F.col("t_total"), carried * F.col("c_total")) - 1e-6
+    met = named(index, "t").join(named(probe, "c"), ["shingle", "exact"]).where(F.least("t_total", "c_total") >= needed)
+    first = met.groupBy(F.col("t_qid").alias("t"), F.col("c_qid").alias("c"), "t_total", "c_total").agg(F.min("t_before").alias("i"), F.min("c_before").alias("j"))
+    pairs = first.where(F.least(F.col("t_total") - F.col("i"), F.col("c_total") - F.col("j")) >= needed).select("t", "c")
 
     def whole(df: DataFrame, side: str, *columns: str) -> DataFrame:
-        return df.select(F.col("q").alias(side), *(F.col(x).alias(f"{side}_{x}") for x in columns))
+        return df.select(F.col("qid").alias(side), *(F.col(x).alias(f"{side}_{x}") for x in columns))
 
-    joined = pairs.join(whole(t, "t", "words", "exact", "names", "shingles"), "t").join(whole(c, "c", "words", "exact", "shingles"), "c")
-    verified = joined.where("t_exact = c_exact").mapInArrow(_verifier(of_words, n_tests + n_candidates, jaccard, contained), "t string, c string")
+    joined = pairs.join(whole(t, "t", "words", "names", "shingles"), "t").join(whole(c, "c", "words", "shingles"), "c")
+    verified = joined.mapInArrow(_verifier(levels, of_words, n, contained, carried), "t bigint, c bigint")
 
     def ids(df: DataFrame, side: str, key: str) -> DataFrame:
-        return df.select(F.col("q").alias(side), F.col("id").alias(key))
+        return df.select(F.col("qid").alias(side), F.col("id").alias(key))
 
     return verified.join(ids(test_rows, "t", "test_id"), "t").join(ids(candidate_rows, "c", "candidate_id"), "c").select("candidate_id", "test_id").distinct()
