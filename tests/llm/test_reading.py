@@ -63,3 +63,31 @@ def test_cuts_forgive_a_wrong_reader():
     easy, hard = cut_points(level, grade, np.histogram(level, 400, (-1, 1))[0])
     assert -0.4 < easy < -0.05 and 0.05 < hard < 0.3
     assert cut_points(level, np.zeros(100), np.histogram(level, 400, (-1, 1))[0]) == (-np.inf, np.inf)
+
+
+def test_a_documents_own_grade_does_not_move_its_level(spark):
+    docs, truth = corpus(n=12)
+    graded = [(k, truth[k], "r") for k in range(1, 40)]
+    of = [{r.doc_id: r.level for r in levels(spark, docs, [(0, band, "r"), *graded])} for band in ("easy", "hard")]
+    assert abs(of[0][0] - of[1][0]) < 0.05 and of[1][0] < -0.3
+
+
+def test_languages_by_frequent_words_and_label(spark):
+    docs = [
+        (1, "Die Pumpe ist an der Wand und der Filter liegt in dem Lager. Das ist nicht gut.", "en"),
+        (2, "The pump is on the wall and the filter is in the store. This is not good.", None),
+        (3, "La bomba está en la pared y el filtro se guarda en el armario para que no se moje.", "und"),
+        (4, "Pompa filtr magazyn zawory.", " PL-pl "),
+        (5, "", "zz"),
+        (6, None, None),
+    ]
+    rows = reading_levels(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), spark.createDataFrame([], "doc_id bigint, band string")).collect()
+    assert {r.doc_id: r.language for r in rows} == {1: "de", 2: "en", 3: "es", 4: "pl", 5: "zz", 6: "und"}
+
+
+def test_many_partitions_and_growing_tables(spark):
+    docs, truth = corpus(n=20)
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(300)
+    g = spark.createDataFrame([(k, truth[k]) for k in range(48)], "doc_id bigint, band string")
+    rows = reading_levels(d, g).collect()
+    assert len(rows) == len(docs) and np.mean([r.band == truth[r.doc_id] for r in rows]) >= 0.98
