@@ -9,11 +9,12 @@ differ are joined back to their spelled-out values.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.functions.text import normalize
+from spanwright.session import materialize
 
 CHANGES = np.array(["added", "removed", "changed"], dtype=object)
 _BUCKET_INPUT_BYTES = 64 << 20
@@ -68,16 +69,15 @@ def last_documents(headers: DataFrame, docs: DataFrame) -> DataFrame:
     return newest.join(last, "snapshot_id").select("source", "doc_key", F.col("d.normalized_text").alias("normalized_text"))
 
 
-def _bucket_changes(pdf: pd.DataFrame) -> pd.DataFrame:
-    source = pd.factorize(pdf["source"])[0]
-    seq, n = pdf["seq"].to_numpy(), pdf["n_snapshots"].to_numpy()
-    k1, k2, r1, r2 = (pdf[c].to_numpy() for c in ("k1", "k2", "r1", "r2"))
-    order = np.lexsort((r2, r1, pdf["delivered"].to_numpy(), k2, k1, seq, source))
+def _bucket_changes(table: pa.Table) -> pa.Table:
+    sources = table.column("source").combine_chunks().dictionary_encode()
+    source = sources.indices.to_numpy()
+    seq, n, k1, k2, r1, r2, delivered = (table.column(c).to_numpy() for c in ("seq", "n_snapshots", "k1", "k2", "r1", "r2", "delivered"))
+    order = np.lexsort((r2, r1, delivered, k2, k1, seq, source))
     source, seq, n, k1, k2, r1, r2 = (a[order] for a in (source, seq, n, k1, k2, r1, r2))
-    names = pdf["source"].to_numpy()[order]
     same = (source[1:] == source[:-1]) & (seq[1:] == seq[:-1]) & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
     last = np.append(~same, True)  # of a document delivered more than once, the last delivery
-    source, seq, n, k1, k2, r1, r2, names = (a[last] for a in (source, seq, n, k1, k2, r1, r2, names))
+    source, seq, n, k1, k2, r1, r2 = (a[last] for a in (source, seq, n, k1, k2, r1, r2))
     pairs = np.empty(len(k1), dtype=[("a", np.int64), ("b", np.int64)])
     pairs["a"], pairs["b"] = k1, k2
     first_of, key = np.unique(pairs, return_index=True, return_inverse=True)[1:]
@@ -102,13 +102,13 @@ def _bucket_changes(pdf: pd.DataFrame) -> pd.DataFrame:
     found, _ = find(place[earlier] + width)
     out.append((earlier[~found], seq[earlier[~found]], 1))
     at = np.concatenate([o[0] for o in out])
-    return pd.DataFrame(
+    return pa.table(
         {
-            "source": names[at],
-            "from_seq": np.concatenate([o[1] for o in out]).astype(np.int32),
-            "k1": k1[at],
-            "k2": k2[at],
-            "change": CHANGES[np.repeat([o[2] for o in out], [len(o[0]) for o in out])],
+            "source": sources.dictionary.take(pa.array(source[at])),
+            "from_seq": pa.array(np.concatenate([o[1] for o in out]).astype(np.int32)),
+            "k1": pa.array(k1[at]),
+            "k2": pa.array(k2[at]),
+            "change": pa.array(CHANGES[np.repeat([o[2] for o in out], [len(o[0]) for o in out])], pa.string()),
         }
     )
 
@@ -148,10 +148,9 @@ def snapshot_changes(headers: DataFrame, docs: DataFrame, buckets: int | None =
         )
         .withColumn("bucket", F.pmod("k1", F.lit(buckets)))
     )
-    differing = compact.groupBy("bucket").applyInPandas(
-        _bucket_changes, "source string, from_seq int, k1 bigint, k2 bigint, change string"
-    )
-    names = keyed.select("doc_key").distinct().select("doc_key", k1.alias("k1"), k2.alias("k2"))
+    # written, so that their size is known: few enough differing keys are broadcast to the scan of the keys
+    differing = materialize(compact.groupBy("bucket").applyInArrow(_bucket_changes, "source string, from_seq int, k1 bigint, k2 bigint, change string"), "changes")
+    names = keyed.select("doc_key", k1.alias("k1"), k2.alias("k2")).join(differing.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").distinct()
     ids = seqs.select("source", F.col("seq").alias("from_seq"), F.col("snapshot_id").alias("from_snapshot_id"))
     next_ids = seqs.select(
         "source", (F.col("seq") - 1).alias("from_seq"), F.col("snapshot_id").alias("to_snapshot_id")
