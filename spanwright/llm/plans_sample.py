@@ -28,9 +28,12 @@ def _sample_sql() -> str:
   SELECT * REPLACE ({sqltext.canonical_sha256("span_hash")} AS span_hash, {sqltext.canonical_label("resolution")} AS resolution,
                     lower({sqltext.strip("stratum")}) AS stratum, lower({sqltext.strip("record")}) AS record)
   FROM observations)""",
+        # the one document known for an observation
+        """owned AS (SELECT * REPLACE (coalesce(doc_key, CASE WHEN max(doc_key) OVER place = min(doc_key) OVER place THEN max(doc_key) OVER place END) AS doc_key)
+  FROM tidy WINDOW place AS (PARTITION BY cohort, span_hash, offset_days, observed_sha))""",
         f"""f0 AS (SELECT *, {_signed("substr(span_hash, 1, 16)")} AS l0, {_signed("substr(span_hash, 17, 16)")} AS l1,
   {_signed("substr(span_hash, 33, 16)")} AS r0, {_signed("substr(span_hash, 49, 16)")} AS r1
-  FROM tidy WHERE cohort IS NOT NULL AND span_hash IS NOT NULL)""",
+  FROM owned WHERE cohort IS NOT NULL AND span_hash IS NOT NULL)""",
     ]
     for n in range(ROUNDS):
         ctes.append(
@@ -45,9 +48,9 @@ def _sample_sql() -> str:
         + f"""
 SELECT * EXCLUDE (l0, l1, r0, r1, written_at), epoch_us(written_at) AS written_at FROM f{ROUNDS}
 WHERE {unsigned} // {1 << (64 - RATE_BITS)} < {int(RATE * (1 << RATE_BITS))}
-QUALIFY row_number() OVER (PARTITION BY cohort, span_hash, offset_days, observed_sha ORDER BY batch DESC NULLS LAST,
+QUALIFY row_number() OVER (PARTITION BY cohort, span_hash, offset_days, observed_sha, doc_key ORDER BY batch DESC NULLS LAST,
   written_at DESC NULLS LAST, record DESC NULLS LAST, quarter DESC NULLS LAST, cohort_sha DESC NULLS LAST,
-  cohort_date DESC NULLS LAST, churn_90d DESC NULLS LAST, doc_key DESC NULLS LAST, stratum DESC NULLS LAST,
+  cohort_date DESC NULLS LAST, churn_90d DESC NULLS LAST, stratum DESC NULLS LAST,
   resolution DESC NULLS LAST) = 1"""
     )
 
