@@ -1,11 +1,13 @@
 """Fill containers of a fixed number of tokens with texts, neighbours in wording together.
 
 Texts are measured once, in Arrow batches. A text longer than a container is cut into whole containers
-and a rest; every other text stays in one piece. The items are hashed into shards of a bounded number of
-items; a shard builds a BM25 inverted index of its items. The largest unused item seeds a container, the
-index returns its unused neighbours in order of their score, and these fill the container greedily; what
-room then is left goes to the largest unused items that fit. Containers that stay too empty, at a shard's
-end, are dissolved and their items packed once more, in shards of their own.
+and a rest; every other text stays in one piece. Each item gets a key from its wording: the term that a hash,
+weighted by the terms' rarity, draws from its terms, so items alike in wording mostly draw the same. Items
+are ranged by these keys and go by in shards of a bounded number of items, neighbours in wording together,
+however many share a key; a shard builds a BM25 inverted index of its items. The largest unused item seeds a
+container, the index returns its unused neighbours in order of their score, and these fill the container
+greedily; what room then is left goes to the largest unused items that fit. Containers that stay too empty,
+at a shard's end, are dissolved and their items packed once more, in shards of their own.
 """
 
 from __future__ import annotations
@@ -14,25 +16,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.llm.batches import by_size
+from spanwright.llm.sketch import mix
 from spanwright.llm.tokens import DEFAULT_TOKENIZER, ChunkTable, load_encoding
 from spanwright.session import materialize
 
 CAPACITY = 2048
 SHARD_ITEMS = 2048
+#: Shards that one task packs, one after the other.
+TASK_SHARDS = 4
+#: Cells in which terms are counted, to weight them; the counts are broadcast (1 MB).
+CELLS = 1 << 18
 #: Containers filled less than this are packed again.
 REPACK_BELOW = 0.97
 K1, B = 1.2, 0.75
 
-_ITEMS = "doc_id bigint, piece int, start_token bigint, n_tokens bigint, terms array<int>, freqs array<smallint>, text_tokens bigint"
+_ITEMS = "doc_id bigint, piece int, start_token bigint, n_tokens bigint, terms array<int>, freqs array<int>"
 
 
-def _measurer(path: str, capacity: int):
+def _measurer(tokenizer, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(load_encoding(path))
+        table = ChunkTable(load_encoding(tokenizer.value))
         for batch in by_size(batches):
             tokens, offsets, terms, freqs = table.measure(batch.column(1).to_pylist())
             whole = (tokens - 1) // capacity * (tokens > capacity)  # whole containers cut off in front
@@ -44,15 +52,45 @@ def _measurer(path: str, capacity: int):
                     pa.array(start),
                     pa.array(tokens - start),
                     pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(terms)),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.minimum(freqs, 32767).astype(np.int16))),
-                    pa.array(tokens),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(freqs.astype(np.int32))),
                 ],
-                ["doc_id", "piece", "start_token", "n_tokens", "terms", "freqs", "text_tokens"],
+                ["doc_id", "piece", "start_token", "n_tokens", "terms", "freqs"],
             )
 
     return run
 
 
+def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many items have terms in the cells; ``terms`` is the only column."""
+    total = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        total += np.bincount(batch.column(0).flatten().to_numpy() & (CELLS - 1), minlength=CELLS)
+    cell = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["cell", "n"])
+
+
+def _keyer(counts, n: int):
+    """Items with the key of their wording: of their terms the one that a weighted hash draws."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = counts.value
+        for batch in batches:
+            terms = batch.column("terms")
+            term, offsets = terms.flatten().to_numpy(), terms.offsets.to_numpy()
+            u = (mix(term.view(np.uint32).astype(np.uint64) + np.uint64(1)) >> np.uint64(11)).astype(float) / (1 << 53)
+            seen = df[term & (CELLS - 1)]
+            # a term of one item draws nobody else
+            drawn = -np.log(np.maximum(u, 1e-300)) / np.where(seen > 1, np.log((n + 1) / np.minimum(seen, n)) + 1e-6, 1e-9)
+            of = np.repeat(np.arange(len(batch)), np.diff(offsets))
+            order = np.lexsort((drawn, of))
+            key = np.zeros(len(batch), np.int64)
+            has = np.diff(offsets) > 0
+            key[has] = mix(term[order][(offsets[:-1] - offsets[0])[has]].view(np.uint32).astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], [*batch.schema.names, "wording"])
+
+    return run
+
+
 class _Index:
     """BM25 inverted index of a shard's items."""
 
@@ -139,34 +177,42 @@ def pack(sizes: np.ndarray, index: _Index, capacity: int) -> np.ndarray:
     return container
 
 
-def _packer(prefix: str, capacity: int):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("n_tokens", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()
-        sizes = table.column("n_tokens").to_numpy()
-        terms, freqs = table.column("terms").chunk(0), table.column("freqs").chunk(0)
-        offsets = terms.offsets.to_numpy().astype(np.int64)
-        index = _Index(offsets - offsets[0], terms.flatten().to_numpy(), freqs.flatten().to_numpy().astype(np.float64))
-        number = pack(sizes, index, capacity)
-        shard = table.column("shard")[0].as_py()
-        used = np.bincount(number, weights=sizes)
-        names = np.array([f"{prefix}{shard}-{k}" for k in range(len(used))], dtype=object)
-        return pa.table(
-            {
-                "container_id": pa.array(names[number], pa.string()),
-                "doc_id": table.column("doc_id"),
-                "piece": table.column("piece"),
-                "start_token": table.column("start_token"),
-                "n_tokens": table.column("n_tokens"),
-                "used": pa.array(used[number].astype(np.int64)),
-                "terms": table.column("terms"),
-                "freqs": table.column("freqs"),
-            }
-        )
+def _pack_shard(table: pa.Table, name: str, capacity: int) -> pa.RecordBatch:
+    order = [(c, "ascending") for c in ("n_tokens", "doc_id", "piece")]
+    table = table.combine_chunks().sort_by(order).combine_chunks()
+    sizes = table.column("n_tokens").to_numpy()
+    terms, freqs = table.column("terms").chunk(0), table.column("freqs").chunk(0)
+    offsets = terms.offsets.to_numpy().astype(np.int64)
+    index = _Index(offsets - offsets[0], terms.flatten().to_numpy(), freqs.flatten().to_numpy().astype(np.float64))
+    number = pack(sizes, index, capacity)
+    used = np.bincount(number, weights=sizes).astype(np.int64)
+    names = np.array([f"{name}-{k}" for k in range(len(used))], dtype=object)
+    columns = {"container_id": pa.array(names[number], pa.string()), "used": pa.array(used[number])}
+    return pa.table(columns | {c: table.column(c) for c in _COLUMNS}).combine_chunks().to_batches()[0]
+
+
+def _packer(prefix: str, capacity: int, shard_items: int):
+    """Packs the items of a partition, shard after shard as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, shard, held, n = f"{prefix}{TaskContext.get().partitionId()}", 0, [], 0
+        for batch in batches:
+            while len(batch):
+                part = batch.slice(0, shard_items - n)
+                batch = batch.slice(len(part))
+                held.append(part)
+                n += len(part)
+                if n == shard_items:
+                    yield _pack_shard(pa.Table.from_batches(held), f"{name}-{shard}", capacity)
+                    shard, held, n = shard + 1, [], 0
+        if n:
+            yield _pack_shard(pa.Table.from_batches(held), f"{name}-{shard}", capacity)
 
     return run
 
 
-_PACKED = "container_id string, doc_id bigint, piece int, start_token bigint, n_tokens bigint, used bigint, terms array<int>, freqs array<smallint>"
+_COLUMNS = ["doc_id", "piece", "start_token", "n_tokens", "terms", "freqs", "wording"]
+_PACKED = "container_id string, used bigint, doc_id bigint, piece int, start_token bigint, n_tokens bigint, terms array<int>, freqs array<int>, wording bigint"
 _OUT = ["container_id", "doc_id", "piece", "start_token", "n_tokens"]
 
 
@@ -186,10 +232,10 @@ def pack_texts(
     """
     if capacity < 1 or shard_items < 1:
         raise ValueError("capacity and shard_items must be positive")
-    # counted from Parquet's footers; only sets how many shards there are
-    shards = max(1, -(-documents.select("doc_id").count() // shard_items))
-    measured = documents.select("doc_id", "text").mapInArrow(_measurer(tokenizer, capacity), _ITEMS)
-    items = materialize(measured, "pack-items")
+    context = documents.sparkSession.sparkContext
+    with open(tokenizer, "rb") as f:
+        ranks = context.broadcast(f.read())
+    items = materialize(documents.select("doc_id", "text").mapInArrow(_measurer(ranks, capacity), _ITEMS), "pack-items")
     cut = (
         items.where(F.col("piece") > 0)
         .select("doc_id", F.expr("uuid()").alias("row"), F.explode(F.sequence(F.lit(0), F.col("piece") - 1)).alias("piece"))
@@ -202,12 +248,20 @@ def pack_texts(
         )
     )
     nothing = items.where("n_tokens = 0").select(F.lit(None).cast("string").alias("container_id"), *_OUT[1:])
-    # the hash also takes in the length, so that rows with one id spread
-    spread = F.xxhash64("doc_id", "text_tokens", F.hash("terms"))
-    sharded = items.where("n_tokens > 0").withColumn("shard", F.pmod(spread, F.lit(shards))).drop("text_tokens")
-    packed = materialize(sharded.groupBy("shard").applyInArrow(_packer("s", capacity), _PACKED), "pack-first")
+    short = items.where("n_tokens > 0")
+    counts, n = np.zeros(CELLS, np.int64), short.count()
+    for row in short.select("terms").mapInArrow(_counter, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[row["cell"]] = row["n"]
+    keyed = short.mapInArrow(_keyer(context.broadcast(counts), n), _ITEMS + ", wording bigint")
+
+    def packed_by_wording(rows: DataFrame, n: int, prefix: str) -> DataFrame:
+        # items of one wording, if there are many, are parted by their hash
+        place = ["wording", F.xxhash64("doc_id", "n_tokens", F.hash("terms"))]
+        ranged = rows.repartitionByRange(max(1, -(-n // (shard_items * TASK_SHARDS))), *place).sortWithinPartitions(*place)
+        return materialize(ranged.mapInArrow(_packer(prefix, capacity, shard_items), _PACKED), "packed")
+
+    packed = packed_by_wording(keyed, n, "s")
     full = F.col("used") >= int(REPACK_BELOW * capacity)
-    again = max(1, shards // 16)
-    rest = packed.where(~full).withColumn("shard", F.pmod(F.xxhash64("doc_id", "container_id"), F.lit(again)))
-    repacked = rest.drop("container_id", "used").groupBy("shard").applyInArrow(_packer("r", capacity), _PACKED)
+    rest = packed.where(~full)
+    repacked = packed_by_wording(rest.select(*_COLUMNS), rest.count(), "r")
     return packed.where(full).select(*_OUT).unionByName(repacked.select(*_OUT)).unionByName(cut).unionByName(nothing)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from array import array
 
 import numpy as np
 
@@ -17,12 +18,11 @@ CACHE_LIMIT = 1_000_000
 _WORD = re.compile(r"\w+")
 
 
-def load_encoding(path: str):
-    """The tokenizer whose ranks lie in ``path``."""
+def load_encoding(data: bytes):
+    """The tokenizer of a file of ranks; its content is handed on, since workers may not have the file."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
     return tiktoken.Encoding("public", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -37,21 +37,24 @@ class ChunkTable(dict):
     def __init__(self, encoding):
         super().__init__()
         self.encode = encoding.encode_ordinary
-        self.n_tokens: list[int] = []
-        self.terms: list[list[int]] = []
+        self._empty()
+
+    def _empty(self) -> None:
+        self.clear()
+        # of each chunk its tokens, and where its terms end in the terms of all
+        self.n_tokens, self.ends, self.terms = array("q"), array("q", [0]), array("q")
 
     def __missing__(self, chunk: str) -> int:
         at = self[chunk] = len(self.n_tokens)
         self.n_tokens.append(len(self.encode(" " + chunk)))
-        self.terms.append([zlib.crc32(w.encode()) for w in _WORD.findall(chunk.lower())])
+        self.terms.extend(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in _WORD.findall(chunk.lower()))
+        self.ends.append(len(self.terms))
         return at
 
     def measure(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Token counts of the texts, and their distinct terms as ``(offsets, hashes, frequencies)``."""
         if len(self.n_tokens) > CACHE_LIMIT:
-            self.clear()
-            self.n_tokens.clear()
-            self.terms.clear()
+            self._empty()
         ids: list[int] = []
         starts = np.zeros(len(texts) + 1, np.int64)
         whole = np.full(len(texts), -1, np.int64)  # counts of texts that were tokenized whole
@@ -67,15 +70,13 @@ class ChunkTable(dict):
                     fix[k] = len(self.encode(chunks[0])) - self.n_tokens[self[chunks[0]]]
             starts[k + 1] = len(ids)
         at = np.fromiter(ids, np.int64, len(ids))
-        tokens = np.array(self.n_tokens, np.int64) if self.n_tokens else np.zeros(1, np.int64)
+        # copies, since an array that lends its memory can't grow
+        tokens, ends, flat = (np.array(a, np.int64) for a in (self.n_tokens, self.ends, self.terms))
         summed = np.diff(np.concatenate([[0], np.cumsum(tokens[at])])[starts])
         counts = np.where(whole >= 0, whole, summed + fix)
-        sizes = np.array([len(t) for t in self.terms] or [0], np.int64)
-        flat = np.array([h for t in self.terms for h in t], np.int64)
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        size = sizes[at]
-        ends = np.cumsum(size)
-        take = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - first[at], size)
+        first, size = ends[at], np.diff(ends)[at]
+        last = np.cumsum(size)
+        take = np.arange(last[-1] if len(last) else 0) - np.repeat(last - size - first, size)
         doc = np.repeat(np.repeat(np.arange(len(texts)), np.diff(starts)), size)
         key, freq = np.unique(doc << 32 | flat[take], return_counts=True) if len(take) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         offsets = np.searchsorted(key, np.arange(len(texts) + 1) << 32)

@@ -1,4 +1,5 @@
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def test_sample_query_has_an_oracle():
 
 
 def test_token_counts_are_exact():
-    encoding = load_encoding(DEFAULT_TOKENIZER)
+    encoding = load_encoding(Path(DEFAULT_TOKENIZER).read_bytes())
     texts = ["", None, "a", " a", "a  b", "a b ", "x\n y\n\n z", "it's  fine", "\t\n", "été — naïve x", "  ", "a　b c", "1234 5,6", "don't 'll 's"]
     texts += ["a \n b  \n\n  c", "end.\n", " \n", "tab\tseparated text "]
     table = ChunkTable(encoding)
@@ -107,7 +108,7 @@ def check(rows, sizes, capacity):
 def test_packing(spark):
     rows = [(k, " ".join(f"word{(k * 7 + j) % 50}" for j in range(3 + (k * 37) % 90)), "x") for k in range(400)]
     rows += [(1000, "long " * 5000, "x"), (1001, None, "x"), (1002, "", "x"), (1003, "y" * 3000, "x"), (None, "no id", "x")]
-    encoding = load_encoding(DEFAULT_TOKENIZER)
+    encoding = load_encoding(Path(DEFAULT_TOKENIZER).read_bytes())
     sizes = {k: len(encoding.encode_ordinary(t)) if t else 0 for k, t, _ in rows}
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens string")
     used = check(pack_texts(docs, capacity=512, shard_items=64).collect(), sizes, 512)
@@ -126,6 +127,18 @@ def test_packing_puts_neighbours_together(spark):
     assert sum(len(t) == 1 for t in by.values()) >= len(by) - 2
 
 
+def test_packing_puts_neighbours_together_over_many_shards(spark):
+    """Forty topics in shards of sixteen items: by chance a container of eight would hold some eight topics."""
+    rows = [(k, " ".join(f"t{k % 40}w{j} t{k % 40}w{j} common words of all" for j in range(4))) for k in range(640)]
+    size = len(load_encoding(Path(DEFAULT_TOKENIZER).read_bytes()).encode_ordinary(rows[0][1]))
+    assert {len(load_encoding(Path(DEFAULT_TOKENIZER).read_bytes()).encode_ordinary(rows[k][1])) for k in (0, 15, 39)} == {size}
+    packed = pack_texts(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7), capacity=8 * size, shard_items=16).collect()
+    by = defaultdict(set)
+    for r in packed:
+        by[r.container_id].add(r.doc_id % 40)
+    assert len(packed) == 640 and sum(map(len, by.values())) / len(by) < 3
+
+
 def test_packing_cuts_rows_of_one_id_apart(spark):
     rows = [(1, "long " * 1000), (1, "long " * 1000), (None, "long " * 1000)]
     packed = pack_texts(spark.createDataFrame(rows, "doc_id bigint, text string"), capacity=256).collect()
