@@ -12,7 +12,7 @@ _NO_PROSE = re.compile(r"(?m)^[ \t]*(?:#{1,6}(?:[ \t][^\n]*)?|\|[^\n]*|[-*_=]{3,
 _INDENTED = re.compile(r"(?m)(?:(?<=\n\n)|\A)(?:(?: {4}|\t)[^\n]*(?:\n|\Z))+")
 _LIST_MARK = re.compile(r"(?m)^[ \t>]*(?:[-*+\u2022\u2013\u2014]|\d{1,3}[.)])[ \t]+")
 _LINK = re.compile(r"(?<=\])\([^)\n]*\)|https?://\S+")
-_TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>\n]*>")
 _CODE = re.compile(r"`[^`\n]*`")
 _SPLIT = re.compile(r"(?<=[.!?])[\"')\]*_]*\s+|\n\s*\n")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-_TAG = re.compile(r"</?[A-Za-z!][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>\n]*>")
 _LIST_MARK = re.compile(r"(?m)^[ \t>]*(?:[-*+\u2022\u2013\u2014]|\d{1,3}[.)])[ \t]+")
 _ENTITY = re.compile(r"&(?:[a-z]{2,8}|#\d{1,6}|#x[0-9a-f]{1,5});")
 _WRAP_HYPHEN = re.compile(r"(?<=[^\W\d_])(?:\u00ad|[-\u2010]\n[ \t]*)(?=[^\W\d_])")
