@@ -147,34 +147,45 @@ def _swapped(a: str, b: str) -> bool:
     return len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]]
 
 
-def _verifier(levels, word_levels, n: int, contained: float, carried: float):
-    """Pairs of ``(t, t_words, t_names, t_shingles, c, ...)`` that ask the same."""
+def _commoner(levels, n: int, contained: float, carried: float):
+    """Pairs of ``(t, t_shingles, c, c_shingles)`` that have enough weight in common."""
 
-    def weights(words: list[str]) -> np.ndarray:
-        return _weights(word_levels.value, np.array([_hash(("word", w)) for w in words], np.int64), n)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for column in (batch.column("t_shingles"), batch.column("c_shingles")):
+                shingle = column.flatten().to_numpy()
+                of = np.repeat(np.arange(len(batch)), np.diff(column.offsets.to_numpy()))
+                sides.append((of, _weights(levels.value, shingle, n), sketch.mix(shingle.view(np.uint64) + sketch.mix(of.astype(np.uint64) + np.uint64(1)))))
+            (t_of, t_weight, t_key), (c_of, c_weight, c_key) = sides
+            shared = np.isin(t_key, c_key)
+            common, t_total, c_total = (np.bincount(of, weights=w, minlength=len(batch)) for of, w in ((t_of[shared], t_weight[shared]), (t_of, t_weight), (c_of, c_weight)))
+            on = (common >= contained * t_total - 1e-6) & (common >= carried * c_total - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("c")], ["t", "c"]).filter(pa.array(on))
 
-    def unknown(word: str) -> bool:
-        """Whether a word stands in one question only."""
-        return sketch.counts_of(sketch.estimate(word_levels.value, np.array([_hash(("word", word))], np.int64)))[0] < 1.5
+    return run
 
-    def same(t_words, t_names, t_shingles, c_words, c_shingles) -> bool:
-        t_weight, c_weight = (_weights(levels.value, np.array(x, np.int64), n) for x in (t_shingles, c_shingles))
-        common = t_weight[np.isin(t_shingles, c_shingles)].sum()
-        if common < contained * t_weight.sum() - 1e-6 or common < carried * c_weight.sum() - 1e-6:
-            return False
+
+def _verifier(word_levels, n: int):
+    """Pairs of ``(t, t_words, t_names, c, c_words)`` that ask the same, if they have enough shingles in common."""
+
+    def counts(words: list[str]) -> np.ndarray:
+        return sketch.counts_of(sketch.estimate(word_levels.value, np.array([_hash(("word", w)) for w in words], np.int64)))
+
+    def same(t_words, t_names, c_words) -> bool:
         t, c = set(t_words), set(c_words)
-        weight = weights(t_words)
+        weight = np.log((n + 1) / np.clip(counts(t_words), 1, n)) ** 2
         if weight[[w in c for w in t_words]].sum() < WORDS_HELD * weight.sum() - 1e-6:
             return False
         if any((x in t and y in c and y not in t and x not in c) or (y in t and x in c and x not in t and y not in c) for x, y in OPPOSITES):
             return False
         names = t_names or [t_words[int(weight.argmax())]]
         # a longer name with two letters swapped counts if the word stands in no other question; short words become others
-        return all(m in c or (len(m) >= _SWAP_LETTERS and any(_swapped(m, w) and unknown(w) for w in c - t)) for m in names)
+        return all(m in c or (len(m) >= _SWAP_LETTERS and any(_swapped(m, w) and counts([w])[0] < 1.5 for w in c - t)) for m in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("t_words", "t_names", "t_shingles", "c_words", "c_shingles")]
+            columns = [batch.column(c).to_pylist() for c in ("t_words", "t_names", "c_words")]
             on = pa.array([same(*row) for row in zip(*columns, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("c")], ["t", "c"]).filter(on)
 
@@ -233,8 +244,9 @@ def question_overlaps(
     def whole(df: DataFrame, side: str, *columns: str) -> DataFrame:
         return df.select(F.col("qid").alias(side), *(F.col(x).alias(f"{side}_{x}") for x in columns))
 
-    joined = pairs.join(whole(t, "t", "words", "names", "shingles"), "t").join(whole(c, "c", "words", "shingles"), "c")
-    verified = joined.mapInArrow(_verifier(levels, of_words, n, contained, carried), "t bigint, c bigint")
+    in_common = pairs.join(whole(t, "t", "shingles"), "t").join(whole(c, "c", "shingles"), "c").mapInArrow(_commoner(levels, n, contained, carried), "t bigint, c bigint")
+    joined = materialize(in_common, "questions-in-common").join(whole(t, "t", "words", "names"), "t").join(whole(c, "c", "words"), "c")
+    verified = joined.mapInArrow(_verifier(of_words, n), "t bigint, c bigint")
 
     def ids(df: DataFrame, side: str, key: str) -> DataFrame:
         return df.select(F.col("qid").alias(side), F.col("id").alias(key))
