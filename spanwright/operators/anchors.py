@@ -71,22 +71,26 @@ def capture(requests: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataF
     return anchors, found.where("start IS NULL").select("request_id", "source", "doc_key", reason.alias("reason"))
 
 
-def span_pairs(spans: DataFrame, documents: DataFrame, rare_token: bool = True) -> DataFrame:
-    """``(source, span_text, doc_key)`` of every document that holds a span of its source.
+def _held(spans: DataFrame, documents: DataFrame, rare_token: bool) -> DataFrame:
+    """Documents with each span of their source that they hold: ``(source, span_text, doc_key, text, headings)``.
 
     A token inside of a span, with neighbours on both sides, is a whole token of every document that holds
-    the span. So spans and documents are joined on each span's rarest inner token, and verified. Spans
-    without inner token, and all with ``rare_token=False``, are compared with every document of the source.
+    the span. So spans and documents are joined on each span's rarest inner token, and verified. Of the
+    documents' tokens only those that stand inside of a span are counted and joined. Spans without inner
+    token, and all with ``rare_token=False``, are compared with every document of the source.
     """
     spans = spans.select("source", "span_text").where("span_text <> ''").distinct()
     if not rare_token:
-        return spans.join(documents, "source").where(F.contains("text", F.col("span_text"))).select("source", "span_text", "doc_key")
-    tokens = documents.select("source", "doc_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)))).alias("token"))
+        return spans.join(documents, "source").where(F.contains("text", F.col("span_text")))
     pieces = F.split("span_text", _NOT_TOKEN, -1)
     inner = F.filter(F.slice(pieces, 2, F.greatest(F.size(pieces) - 2, F.lit(0))), lambda t: t != "")
-    with_inner = spans.withColumn("inner", F.array_distinct(inner))
-    frequency = tokens.groupBy("source", "token").agg(F.count("*").alias("df"))
+    with_inner = materialize(spans.withColumn("inner", F.array_distinct(inner)), "spans")
     of_span = with_inner.select("source", "span_text", F.explode("inner").alias("token"))
+    # written, so that its size is known: few enough tokens are broadcast to the documents
+    wanted = materialize(of_span.select("source", "token").distinct(), "span-tokens")
+    tokens = documents.select("source", "doc_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)))).alias("token"))
+    tokens = materialize(tokens.join(wanted, ["source", "token"], "left_semi"), "document-tokens")
+    frequency = tokens.groupBy("source", "token").agg(F.count("*").alias("df"))
     # a token that no document has: the span is nowhere
     rarest = (
         of_span.join(frequency, ["source", "token"], "left")
@@ -96,17 +100,20 @@ def span_pairs(spans: DataFrame, documents: DataFrame, rare_token: bool = True)
         .select("source", "span_text", F.col("r.token").alias("token"))
     )
     candidates = rarest.join(tokens, ["source", "token"]).select("source", "span_text", "doc_key")
-    texts = documents.select("source", "doc_key", "text")
-    verified = candidates.join(texts, ["source", "doc_key"]).where(F.contains("text", F.col("span_text"))).select("source", "span_text", "doc_key")
+    held = candidates.join(documents, ["source", "doc_key"]).where(F.contains("text", F.col("span_text")))
     rest = with_inner.where(F.size("inner") == 0).drop("inner")
-    nested = rest.join(texts, "source").where(F.contains("text", F.col("span_text"))).select("source", "span_text", "doc_key")
-    return verified.unionByName(nested)
+    return held.unionByName(rest.join(documents, "source").where(F.contains("text", F.col("span_text"))))
+
+
+def span_pairs(spans: DataFrame, documents: DataFrame, rare_token: bool = True) -> DataFrame:
+    """``(source, span_text, doc_key)`` of every document that holds a span of its source."""
+    return _held(spans, documents.select("source", "doc_key", "text"), rare_token).select("source", "span_text", "doc_key")
 
 
 def span_matches(spans: DataFrame, documents: DataFrame, rare_token: bool = True) -> DataFrame:
     """Every occurrence of every span: ``(source, span_text, doc_key, start, end, path, context, place)``."""
-    pairs = span_pairs(spans, documents, rare_token)
-    at = pairs.join(documents, ["source", "doc_key"]).withColumn("start", F.explode(S.occurrences(F.col("text"), F.col("span_text"))))
+    at = _held(spans, documents.select("source", "doc_key", "text", "headings"), rare_token)
+    at = at.withColumn("start", F.explode(S.occurrences(F.col("text"), F.col("span_text"))))
     at = at.withColumn("end", F.col("start") + F.char_length("span_text"))
     return at.select(
         "source",
@@ -201,6 +208,19 @@ def resolve(anchors: DataFrame, documents: DataFrame, rare_token: bool = True) -
     return resolved.unionByName(_stale_or_destroyed(joined.where("n IS NULL"), documents)), unresolvable
 
 
+class Unresolvable(ValueError):
+    """Anchors whose text doesn't have their hash."""
+
+
+def resolve_all(anchors: DataFrame, documents: DataFrame) -> DataFrame:
+    """``resolve``, in the order of the anchors; raises ``Unresolvable``, naming some, if any can't be resolved."""
+    resolutions, unresolvable = resolve(anchors, documents)
+    bad = [r["anchor_ord"] for r in unresolvable.orderBy("anchor_ord").limit(5).collect()]
+    if bad:
+        raise Unresolvable(f"span_text does not have span_hash: anchors {bad} and maybe more")
+    return resolutions.orderBy("anchor_ord")
+
+
 SPAN_FOUND = ("valid", "valid_repaired", "valid_relocated")
 NEEDS_REVIEW = ("stale", "ambiguous")
 

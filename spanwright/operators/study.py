@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanwright.functions.markdown import fenced_regions, parse_headings
-from spanwright.functions.spans import occurrences
 from spanwright.functions.text import WS, normalize, py_strip, technical_tokens
 
 # Fixed values of the study.
@@ -32,8 +31,9 @@ def eligible_spans(text: Column) -> Column:
     """
     pieces = F.transform(F.split(text, rf"(?<=[.!?])[{WS}]+", -1), py_strip)
     sized = F.filter(pieces, lambda p: F.char_length(p).between(MIN_SPAN, MAX_SPAN))
-    placed = F.transform(sized, lambda p: F.struct(p.alias("span"), occurrences(text, p).alias("at")))
-    single = F.transform(F.filter(placed, lambda p: F.size(p["at"]) == 1), lambda p: F.struct(p["span"].alias("span"), F.get(p["at"], F.lit(0)).alias("start")))
+    placed = F.transform(sized, lambda p: F.struct(p.alias("span"), F.call_function("locate", p, text, F.lit(1)).alias("at")))
+    once = F.filter(placed, lambda p: (p["at"] > 0) & (F.call_function("locate", p["span"], text, p["at"] + 1) == 0))
+    single = F.transform(once, lambda p: F.struct(p["span"].alias("span"), (p["at"] - 1).alias("start")))
     bound = F.get(
         F.transform(
             F.array(F.struct(parse_headings(text).alias("h"), fenced_regions(text).alias("f"))),

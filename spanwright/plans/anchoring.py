@@ -47,8 +47,19 @@ def resolve_anchors_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(_resolved(spark, sf_dir, rare_token=False)[0])
 
 
+#: Anchors whose key's MD5 begins so are spoiled where a query is about spoiled ones.
+_SPOILED, _UNOWNED = "0", "1"
+
+
+def _begins(key: str, digit: str):
+    return F.startswith(F.md5(F.col(key).cast("string").cast("binary")), F.lit(digit))
+
+
 def unresolvable_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _resolved(spark, sf_dir)[1].select("anchor_ord")
+    """Every anchor resolved after some hashes were spoiled; those that can't be."""
+    anchors = _anchors(spark, sf_dir)
+    spoiled = anchors.withColumn("span_hash", F.when(_begins("anchor_ord", _SPOILED), F.sha2(F.lit("spoiled").cast("binary"), 256)).otherwise(F.col("span_hash")))
+    return A.resolve(spoiled, _last(spark, sf_dir))[1].select("anchor_ord")
 
 
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +93,15 @@ def _own_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.load_documents(one.select(F.col("snapshot_id").alias("source"), "doc_key", F.col("d.normalized_text").alias("normalized_text")))
 
 
-def _recaptured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _recaptured(spark: SparkSession, sf_dir: str, spoil: bool = False) -> tuple[DataFrame, DataFrame]:
     requests = read_table(spark, sf_dir, "anchors", ["anchor_ord", "snapshot_id", "doc_key", "span_text"]).distinct()
+    if spoil:
+        requests = requests.withColumns(
+            {
+                "span_text": F.when(_begins("anchor_ord", _SPOILED), F.concat("span_text", F.lit(" spoiled"))).otherwise(F.col("span_text")),
+                "doc_key": F.when(_begins("anchor_ord", _UNOWNED), F.concat("doc_key", F.lit(" spoiled"))).otherwise(F.col("doc_key")),
+            }
+        )
     requests = requests.select(
         F.col("anchor_ord").alias("request_id"), F.col("snapshot_id").alias("source"), "doc_key", F.col("span_text").alias("span"), F.lit(0).alias("occurrence")
     )
@@ -103,7 +121,8 @@ def capture_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _recaptured(spark, sf_dir)[1].select(F.col("request_id").alias("anchor_ord"), "reason")
+    """Each anchor's span captured again after some spans and documents were spoiled; those that can't be."""
+    return _recaptured(spark, sf_dir, spoil=True)[1].select(F.col("request_id").alias("anchor_ord"), "reason")
 
 
 def heading_paths_at(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +273,8 @@ QUERIES = {
 ORACLES = {
     "resolve_anchors": _RESOLVE + _FLAT,
     "resolve_anchors_nested": _RESOLVE + _FLAT,
-    "unresolvable_anchors": f"WITH {_ANCHORS} SELECT anchor_ord FROM one_anchor ANTI JOIN sound USING (anchor_ord)",
+    "unresolvable_anchors": f"""WITH {_ANCHORS} SELECT anchor_ord FROM one_anchor
+WHERE md5(anchor_ord::VARCHAR) LIKE '{_SPOILED}%' OR anchor_ord NOT IN (SELECT anchor_ord FROM sound)""",
     "review_queue": _RESOLVE + "SELECT anchor_ord, resolution, len(spans)::INT AS n_candidates FROM resolved WHERE resolution IN ('stale', 'ambiguous')",
     "repaired_anchors": _RESOLVE + "SELECT anchor_ord, resolution FROM resolved WHERE resolution IN ('valid_repaired', 'valid_relocated')",
     "destroyed_anchors": _RESOLVE + "SELECT anchor_ord FROM resolved WHERE resolution = 'destroyed'",
@@ -268,7 +288,11 @@ SELECT source, md5(span_text) AS span, doc_key, count(*) AS n, min(start_at) AS
     + f""" SELECT spot.anchor_ord, coalesce(array_to_string(h.path, ' > '), '') AS path, sha256({Q.normalize("span")}) AS span_hash,
   {_context("t", "s", "(s + length(span))")} AS context_hash, s AS start_at, (s + length(span))::INT AS end_at
 FROM spot LEFT JOIN heads h ON h.id = spot.id AND h.start_at <= spot.s AND spot.s < h.end_at WHERE spot.s >= 0 AND span <> ''""",
-    "capture_rejects": _OWN
+    "capture_rejects": _OWN.replace(
+        "asked AS (SELECT DISTINCT anchor_ord, snapshot_id, doc_key, span_text FROM anchors",
+        f"""asked AS (SELECT DISTINCT anchor_ord, snapshot_id, CASE WHEN md5(anchor_ord::VARCHAR) LIKE '{_UNOWNED}%' THEN doc_key || ' spoiled' ELSE doc_key END AS doc_key,
+  CASE WHEN md5(anchor_ord::VARCHAR) LIKE '{_SPOILED}%' THEN span_text || ' spoiled' ELSE span_text END AS span_text FROM anchors""",
+    )
     + """ SELECT anchor_ord, CASE WHEN t IS NULL THEN 'no such document' ELSE 'span not found' END AS reason FROM spot
 WHERE t IS NULL OR span IS NULL OR span = '' OR s < 0""",
     "heading_paths_at": _OWN

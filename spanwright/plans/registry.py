@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["changes", "texts", "anchoring", "study"]
+MODULES = ["changes", "texts", "anchoring", "study", "history"]
 
 
 def _merged(name: str) -> dict:
