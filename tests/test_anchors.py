@@ -125,3 +125,14 @@ def test_snapshot_id(spark):
     assert build_snapshot(docs, "s", snapshot_id="abc")[0].first().snapshot_id == "abc"
     assert len(build_snapshot(documents(spark, {}), "s")[0].first().snapshot_id) == 64
     assert snapshot_ids(docs, [], "1").first().content_id != snapshot_ids(docs, [], "2").first().content_id
+
+
+def test_resolve_all_in_order_or_not_at_all(spark, anchor):
+    one = anchor[0].asDict()
+    rows = [one | {"anchor_ord": k} for k in (3, 1, 2)]
+    docs = as_target(documents(spark, BASE))
+    schema = "anchor_ord bigint, source string, doc_key string, heading_path array<string>, span_hash string, context_hash string, char_range struct<start:int,end:int>, span_text string"
+    make = lambda rows: spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    assert [r.anchor_ord for r in A.resolve_all(make(rows), docs).collect()] == [1, 2, 3]
+    with pytest.raises(A.Unresolvable, match="4"):
+        A.resolve_all(make([*rows, one | {"anchor_ord": 4, "span_hash": "0" * 64}]), docs)

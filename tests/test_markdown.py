@@ -1,5 +1,4 @@
 import random
-import re
 
 from pyspark.sql import functions as F
 
@@ -7,34 +6,71 @@ from spanwright.functions import spans as S
 from spanwright.functions.markdown import fenced_regions, parse_headings
 
 
-def model(text):
-    """Fences and headings by the rules, line by line."""
-    pos, fence, regions, heads = 0, None, [], []
-    for line in text.split("\n"):
-        end = pos + len(line)
-        m = re.match(r"^ {0,3}(`{3,}|~{3,})([^\n]*)$", line)
-        if m:
-            mark, info = m[1], m[2].strip()
-            if fence is None:
-                if not (mark[0] == "`" and "`" in info):
-                    fence = (mark[0], len(mark), pos)
-            elif mark[0] == fence[0] and len(mark) >= fence[1] and not info:
-                regions.append((fence[2], end))
-                fence = None
-        elif fence is None and (m := re.match(r"^(#{1,6})(?:[ \t]+(.+))?$", line)):
-            heads.append((len(m[1]), (m[2] or "").strip(), end + 1, pos))
-        pos = end + 1
-    if fence:
-        regions.append((fence[2], len(text)))
-    out = []
-    for k, (level, title, start, _) in enumerate(heads):
-        path, least = [title], level
-        for l2, t2, *_ in reversed(heads[:k]):
-            if l2 < least:
-                path.insert(0, t2)
-                least = l2
-        out.append((path, level, start, heads[k + 1][3] if k + 1 < len(heads) else len(text)))
-    return regions, out
+PLAIN = ["words", "", "#tag", "####### seven", "    ```", "```js`x", "a ``` b", "\t# indented", "| # | ~~~ |"]
+INSIDE = ["# not a heading", "plain", "", "``", "~~", "    ````````", "    ~~~~~~~~"]
+
+
+class Page:
+    """A text written block by block, so that its fences and headings are known without reading it."""
+
+    def __init__(self, rnd):
+        self.rnd, self.text, self.fences, self.heads = rnd, "", [], []
+
+    def line(self, line):
+        start = len(self.text)
+        self.text += line + "\n"
+        return start
+
+    def filler(self):
+        for _ in range(self.rnd.randrange(3)):
+            if self.rnd.random() < 0.4:
+                self.fence()
+            else:
+                self.line(self.rnd.choice(PLAIN))
+
+    def fence(self, closed=True):
+        rnd = self.rnd
+        kind, size = rnd.choice("`~"), rnd.randint(3, 5)
+        other = {"`": "~", "~": "`"}[kind]
+        start = self.line(" " * rnd.randrange(4) + kind * size + rnd.choice(["", " ", "py", " a b"]))
+        for _ in range(rnd.randrange(4)):
+            self.line(rnd.choice([*INSIDE, kind * (size - 1), other * 6, kind * size + " open"]))
+        if closed:
+            self.line(" " * rnd.randrange(4) + kind * (size + rnd.randrange(2)) + rnd.choice(["", "  "]))
+        self.fences.append((start, len(self.text) - 1))
+
+    def section(self, level, path):
+        title = self.rnd.choice(["Pump", "Two words", "", "Caf\u00e9 \U0001f600", "x # y"])
+        path = [*path, title]
+        start = self.line("#" * level + (self.rnd.choice([" ", "\t", "  "]) + title + self.rnd.choice(["", " "]) if title else ""))
+        self.heads.append((path, level, len(self.text), start))
+        self.filler()
+        self.sections(level, path)
+
+    def sections(self, level, path):
+        # of two sections side by side the later one can't be the deeper one, or it would lie in the earlier
+        below = 6
+        for _ in range(self.rnd.randrange(3)):
+            if level < below:
+                below = self.rnd.randint(level + 1, min(below, level + 2))
+                self.section(below, path)
+
+    def done(self):
+        """The text, without its last line end, its fences and its headings; a heading's body ends where the next begins."""
+        text = self.text[:-1]
+        ends = ([start for *_, start in self.heads[1:]] + [len(text)])[: len(self.heads)]
+        return text, self.fences, [(path, level, body, end) for (path, level, body, _), end in zip(self.heads, ends, strict=True)]
+
+
+def page(seed):
+    made = Page(random.Random(seed))
+    made.filler()
+    made.sections(0, [])
+    if seed % 3 == 0:
+        made.fence(closed=False)
+    else:
+        made.line("end")
+    return made.done()
 
 
 def run(spark, texts):
@@ -43,17 +79,21 @@ def run(spark, texts):
     return [(r.t, [tuple(x) for x in r.f], [(list(x.path), x.level, x.start, x.end) for x in r.h]) for r in rows]
 
 
-def test_offsets_of_the_contract(spark):
-    ((_, fences, heads),) = run(spark, ["# A\n\nintro\n\n## B\n\nbody"])
-    assert fences == [] and heads == [(["A"], 1, 4, 12), (["A", "B"], 2, 17, 22)]
+def test_cases(spark):
+    cases = [
+        ("# Fan\n\nblows\n\n### Noise\n\nlow", [], [(["Fan"], 1, 6, 14), (["Fan", "Noise"], 3, 24, 28)]),
+        ("## b\n# a\n## c", [], [(["b"], 2, 5, 5), (["a"], 1, 9, 9), (["a", "c"], 2, 14, 13)]),
+        ("#", [], [([""], 1, 2, 1)]),
+        ("~~~\n# x\n```\n~~~~ \n# y", [(0, 17)], [(["y"], 1, 22, 21)]),
+        ("a\n```\n# x", [(2, 9)], []),
+        ("", [], []),
+    ]
+    assert run(spark, [t for t, *_ in cases]) == cases
 
 
-def test_random_texts_like_model(spark):
-    rnd = random.Random(3)
-    lines = ["# A", "## B", "### C d", "#", "#x", "```", "````", "``` py", "```a`b", "~~~", "   ```", "    ```", "text", "", "####### no", "# café \U0001f600", "#\tT"]
-    texts = ["\n".join(rnd.choice(lines) for _ in range(rnd.randrange(1, 14))) for _ in range(1500)] + [""]
-    for text, fences, heads in run(spark, texts):
-        assert (fences, heads) == model(text)
+def test_written_pages(spark):
+    pages = [page(seed) for seed in range(600)]
+    assert run(spark, [t for t, *_ in pages]) == pages
 
 
 def test_null_text(spark):

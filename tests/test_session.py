@@ -1,6 +1,6 @@
 from pathlib import Path
 
-from spanwright.session import clear_materialized, materialize, shared_dir
+from spanwright.session import clear_materialized, materialize, scratch, shared_dir
 
 
 def test_materialize_and_clear(spark):
@@ -10,3 +10,11 @@ def test_materialize_and_clear(spark):
     assert any(p.name.startswith("numbers-") for p in folder.iterdir())
     clear_materialized(spark)
     assert not folder.exists()
+
+
+def test_scratch_tables_go_at_the_end(spark):
+    folder = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:")) / "spanwright"
+    with scratch(spark):
+        df = materialize(spark.range(5), "inner")
+        assert df.count() == 5 and any(p.name.startswith("inner-") for p in folder.iterdir())
+    assert not any(p.name.startswith("inner-") for p in folder.iterdir())

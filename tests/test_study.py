@@ -3,8 +3,10 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from spanwright.functions.markdown import parse_headings
 from spanwright.operators import grounding as G
 from spanwright.operators import study as K
+from spanwright.operators import study_run as R
 from spanwright.operators.policy import ACTIONS, action_for, may_retire, retirement
 from spanwright.streaming.retirement import retirement_stream
 
@@ -84,7 +86,7 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     for r in spark.table("retire").collect():
         last[(r.cohort, r.span_hash)] = (r.n_run, r.propose)
     batch = retirement(spark.createDataFrame(rows, schema), ["cohort", "span_hash"]).collect()
-    assert set(last) == {(r.cohort, r.span_hash) for r in batch}
+    assert last == {(r.cohort, r.span_hash): (r.n_run, r.propose) for r in batch} and any(p for _, p in last.values())
 
 
 def test_metrics_and_comparison(spark):
@@ -99,3 +101,40 @@ def test_metrics_and_comparison(spark):
     assert got["t1"] is True and got["t2"] is False
     with pytest.raises(G.NotComparable):
         G.compare_runs(run, hits, run.withColumn("config_hash", F.lit("z")), worse, expected)
+
+
+def study_tables(spark):
+    headers = spark.createDataFrame([("s1", "m", datetime(2024, 1, 1)), ("s2", "m", datetime(2024, 1, 20)), ("s3", "m", datetime(2024, 3, 1))], "snapshot_id string, source string, captured_at timestamp")
+    text = "# Guide\n\nThe flow of the pump must stay below {} litres at all times. Keep a careful log of every single start of the pump.\n"
+    generated = "---\nauto_generated: true\n---\n" + text.format(1)
+    docs = [(s, f"d{k}", text.format(10 * k + (k == 3 and s != "s1")), "clash") for s in ("s1", "s2", "s3") for k in range(1, 5)]
+    docs += [("s1", "auto", generated, "clash"), ("s1", "empty", "", "clash"), ("s1", "none", None, "clash")]
+    docs = spark.createDataFrame(docs, "snapshot_id string, doc_key string, text string, cohort string").drop("cohort")
+    return headers, docs.withColumn("headings", parse_headings(F.col("text")))
+
+
+def test_study_run(spark):
+    headers, docs = study_tables(spark)
+    cohorts = headers.where("snapshot_id = 's1'").withColumn("cohort", F.lit(1))
+    anchors = R.draw_anchors(cohorts, docs, "seed", per_cohort=3)
+    drawn = {(r.doc_key, r.span_text) for r in anchors.collect()}
+    assert len(drawn) == 3 and {k for k, _ in drawn} <= {"d1", "d2", "d3", "d4"}
+    assert drawn == {(r.doc_key, r.span_text) for r in R.draw_anchors(cohorts, docs.repartition(5), "seed", per_cohort=3).collect()}
+    everything = R.draw_anchors(cohorts, docs, "seed", per_cohort=50)
+    targets = R.targets(cohorts, headers)
+    assert {(r.offset_days, r.observed_id) for r in targets.collect()} == {(7, "s1"), (14, "s1"), (30, "s2"), (60, "s3")}
+    with pytest.raises(R.SelfComparison):
+        R.observe(everything, targets, docs)
+    seen, bad = R.observe(everything, targets.where("offset_days >= 30"), docs)
+    rows = seen.collect()
+    assert len(rows) == 8 and bad.count() == 0 and {r.resolution for r in rows if r.doc_key != "d3"} <= {"valid", "valid_repaired", "ambiguous"}
+    assert R.observe(everything.limit(0), targets.where("offset_days >= 30"), docs)[0].count() == 0
+
+
+def test_population_and_metadata(spark):
+    assert R.check_population(spark.range(3), None) == R.check_population(spark.range(3), 3) == 3
+    with pytest.raises(R.UnexpectedPopulation):
+        R.check_population(spark.range(3), 4)
+    seen = spark.createDataFrame([(1, "h", 7, "old"), (2, "h", 7, None)], "cohort int, span_hash string, offset_days int, doc_key string")
+    about = spark.createDataFrame([(1, "h", None, "prose"), (1, "h", "d", None), (None, "h", "x", "x")], "cohort int, span_hash string, doc_key string, stratum string")
+    assert {(r.cohort, r.doc_key, r.stratum) for r in R.with_anchor_metadata(seen, about).collect()} == {(1, "d", "prose"), (2, None, None)}
