@@ -147,8 +147,8 @@ def _swapped(a: str, b: str) -> bool:
     return len(at) == 2 and at[1] == at[0] + 1 and a[at[0]] == b[at[1]] and a[at[1]] == b[at[0]]
 
 
-def _commoner(levels, n: int, contained: float, carried: float):
-    """Pairs of ``(t, t_shingles, c, c_shingles)`` that have enough weight in common."""
+def _commoner(levels, n: int):
+    """Pairs of ``(t, c, needed, t_shingles, c_shingles)`` that have the needed weight in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,12 +156,12 @@ def _commoner(levels, n: int, contained: float, carried: float):
             for column in (batch.column("t_shingles"), batch.column("c_shingles")):
                 shingle = column.flatten().to_numpy()
                 of = np.repeat(np.arange(len(batch)), np.diff(column.offsets.to_numpy()))
-                sides.append((of, _weights(levels.value, shingle, n), sketch.mix(shingle.view(np.uint64) + sketch.mix(of.astype(np.uint64) + np.uint64(1)))))
-            (t_of, t_weight, t_key), (c_of, c_weight, c_key) = sides
+                sides.append((of, shingle, sketch.mix(shingle.view(np.uint64) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+            (of, shingle, t_key), (*_, c_key) = sides
             shared = np.isin(t_key, c_key)
-            common, t_total, c_total = (np.bincount(of, weights=w, minlength=len(batch)) for of, w in ((t_of[shared], t_weight[shared]), (t_of, t_weight), (c_of, c_weight)))
-            on = (common >= contained * t_total - 1e-6) & (common >= carried * c_total - 1e-6)
-            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("c")], ["t", "c"]).filter(pa.array(on))
+            common = np.bincount(of[shared], weights=_weights(levels.value, shingle[shared], n), minlength=len(batch))
+            on = pa.array(common >= batch.column("needed").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("c")], ["t", "c"]).filter(on)
 
     return run
 
@@ -239,12 +239,12 @@ def question_overlaps(
     needed = F.greatest(contained * F.col("t_total"), carried * F.col("c_total")) - 1e-6
     met = named(index, "t").join(named(probe, "c"), ["shingle", "exact"]).where(F.least("t_total", "c_total") >= needed)
     first = met.groupBy(F.col("t_qid").alias("t"), F.col("c_qid").alias("c"), "t_total", "c_total").agg(F.min("t_before").alias("i"), F.min("c_before").alias("j"))
-    pairs = first.where(F.least(F.col("t_total") - F.col("i"), F.col("c_total") - F.col("j")) >= needed).select("t", "c")
+    pairs = first.where(F.least(F.col("t_total") - F.col("i"), F.col("c_total") - F.col("j")) >= needed).select("t", "c", needed.alias("needed"))
 
     def whole(df: DataFrame, side: str, *columns: str) -> DataFrame:
         return df.select(F.col("qid").alias(side), *(F.col(x).alias(f"{side}_{x}") for x in columns))
 
-    in_common = pairs.join(whole(t, "t", "shingles"), "t").join(whole(c, "c", "shingles"), "c").mapInArrow(_commoner(levels, n, contained, carried), "t bigint, c bigint")
+    in_common = pairs.join(whole(t, "t", "shingles"), "t").join(whole(c, "c", "shingles"), "c").mapInArrow(_commoner(levels, n), "t bigint, c bigint")
     joined = materialize(in_common, "questions-in-common").join(whole(t, "t", "words", "names"), "t").join(whole(c, "c", "words"), "c")
     verified = joined.mapInArrow(_verifier(of_words, n), "t bigint, c bigint")
 
