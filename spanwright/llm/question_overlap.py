@@ -3,8 +3,8 @@
 A question is the set of its shingles, two words each, weighted by their rarity. A candidate asks a test's
 question if what they have in common is enough of the weight of either. So they have a shingle in common
 among the heaviest of each (prefix filter): the heaviest shingles of the evaluation questions are indexed and
-probed with the heaviest of the candidates, along with the numbers and codes, which must be the same. A pair
-that meets passes filters on its total weights and on the places of its first common shingle, and is verified
+probed with the heaviest of the candidates, along with the numbers and codes, which must be the same, and a
+name of the test, whose letters the candidate must have. A pair that meets passes filters on its total weights and on the places of its first common shingle, and is verified
 on the whole questions. The filters are exact for the measure. Rarity is told by a count-min sketch of both
 sides, so ordering the shingles takes no shuffle, and a sketch of the evaluation side keeps the probes that
 can't meet anything out of the join.
@@ -40,7 +40,7 @@ _SWAP_LETTERS = 6
 
 _WORD = re.compile(r"[\w=]+(?:[.:][\w=]+)*")
 _EXACT = re.compile(r"[\d_=:.]")
-_QUESTION = "qid bigint, words array<string>, exact bigint, names array<string>, shingles array<bigint>"
+_QUESTION = "qid bigint, words array<string>, exact bigint, names array<string>, shingles array<bigint>, letters array<bigint>"
 
 
 def _hash(words: tuple[str, ...]) -> int:
@@ -58,7 +58,7 @@ class _Hashes(dict):
 def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for batch in batches:
-        columns: list[list] = [[], [], [], [], []]
+        columns: list[list] = [[], [], [], [], [], []]
         for qid, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             spelled = _WORD.findall(q)
             if not spelled:
@@ -68,10 +68,12 @@ def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = None if one_case else sorted({w.lower() for w in spelled[1:] if w[0].isupper() and not _EXACT.search(w)})
             shingles = {hashes[s] for s in zip(*(lowered[k:] for k in range(SHINGLE)), strict=False)} or {hashes[tuple(lowered)]}
             exact = _hash(tuple(sorted({w for w in lowered if _EXACT.search(w)})))
-            for column, value in zip(columns, (qid, sorted(set(lowered)), exact, names, sorted(shingles)), strict=True):
+            words = sorted(set(lowered))
+            letters = [hashes["letters", "".join(sorted(w))] for w in words]
+            for column, value in zip(columns, (qid, words, exact, names, sorted(shingles), letters), strict=True):
                 column.append(value)
-        types = (pa.int64(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["qid", "words", "exact", "names", "shingles"])
+        types = (pa.int64(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["qid", "words", "exact", "names", "shingles", "letters"])
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,6 +88,7 @@ def questions(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
 
     ``exact`` is a hash of the words with digits or signs, ``names`` are words with a capital that don't begin
     the question; null where the question is written in one case throughout, so that capitals say nothing.
+    ``letters`` are hashes of the words' letters in any order.
     """
     rows = df.select(F.col(key).cast("string").alias("id"), "question").dropna().mapInArrow(_plain, "id string, q string").where("q <> ''")
     rows = materialize(rows.withColumn("qid", F.xxhash64("q")), f"questions-{key}")
@@ -112,10 +115,17 @@ def _weights(levels: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
 _PREFIX = "shingle bigint, exact bigint, qid bigint, before double, total double"
 
 
-def _prefix(levels, other, n: int, least: float):
-    """Of questions ``(qid, exact, shingles)`` the heaviest shingles, of which one must be shared, as far as ``other`` knows them.
+def _name(t_words: list[str], t_names: list[str] | None, weight: np.ndarray) -> str:
+    """The rarest of a test's names, or of its words where it has no names."""
+    names = set(t_names or t_words)
+    return max(zip(weight, t_words, strict=True), key=lambda x: (x[1] in names, x[0]))[1]
 
-    ``before`` is the weight of a question's heavier shingles, ``total`` that of all.
+
+def _prefix(levels, other, n: int, least: float, word_levels=None):
+    """Of questions ``(qid, exact, shingles, letters)`` the heaviest shingles, of which one must be shared, as far as ``other`` knows them.
+
+    ``before`` is the weight of a question's heavier shingles, ``total`` that of all. With ``word_levels`` the
+    questions are tests ``(..., letters, words, names)``, and of their letters only those of a name go with them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,14 +143,26 @@ def _prefix(levels, other, n: int, least: float):
             if other is not None:
                 on &= sketch.estimate(other.value, shingle) > 0
             at = pa.array(of[on])
+            letters = batch.column(3)
+            if word_levels is not None:
+                names = [_name(w, x, _word_weights(word_levels.value, w, n)) for w, x in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+                letters = pa.array([_hash(("letters", "".join(sorted(w)))) for w in names], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shingle[on]), batch.column(1).take(at), batch.column(0).take(at), pa.array(before[on]), pa.array(total[of[on]])],
-                ["shingle", "exact", "qid", "before", "total"],
+                [pa.array(shingle[on]), batch.column(1).take(at), batch.column(0).take(at), pa.array(before[on]), pa.array(total[of[on]]), letters.take(at)],
+                ["shingle", "exact", "qid", "before", "total", "letters"],
             )
 
     return run
 
 
+def _word_counts(word_levels: np.ndarray, words: list[str]) -> np.ndarray:
+    return sketch.counts_of(sketch.estimate(word_levels, np.array([_hash(("word", w)) for w in words], np.int64)))
+
+
+def _word_weights(word_levels: np.ndarray, words: list[str], n: int) -> np.ndarray:
+    return np.log((n + 1) / np.clip(_word_counts(word_levels, words), 1, n)) ** 2
+
+
 def _swapped(a: str, b: str) -> bool:
     """Whether two neighbouring letters have changed places."""
     at = [k for k in range(len(a)) if a[k] != b[k]] if len(a) == len(b) else []
@@ -169,19 +191,16 @@ def _commoner(levels, n: int):
 def _verifier(word_levels, n: int):
     """Pairs of ``(t, t_words, t_names, c, c_words)`` that ask the same, if they have enough shingles in common."""
 
-    def counts(words: list[str]) -> np.ndarray:
-        return sketch.counts_of(sketch.estimate(word_levels.value, np.array([_hash(("word", w)) for w in words], np.int64)))
-
     def same(t_words, t_names, c_words) -> bool:
         t, c = set(t_words), set(c_words)
-        weight = np.log((n + 1) / np.clip(counts(t_words), 1, n)) ** 2
+        weight = _word_weights(word_levels.value, t_words, n)
         if weight[[w in c for w in t_words]].sum() < WORDS_HELD * weight.sum() - 1e-6:
             return False
         if any((x in t and y in c and y not in t and x not in c) or (y in t and x in c and x not in t and y not in c) for x, y in OPPOSITES):
             return False
-        names = t_names or [t_words[int(weight.argmax())]]
+        names = t_names or [_name(t_words, None, weight)]
         # a longer name with two letters swapped counts if the word stands in no other question; short words become others
-        return all(m in c or (len(m) >= _SWAP_LETTERS and any(_swapped(m, w) and counts([w])[0] < 1.5 for w in c - t)) for m in names)
+        return all(m in c or (len(m) >= _SWAP_LETTERS and any(_swapped(m, w) and _word_counts(word_levels.value, [w])[0] < 1.5 for w in c - t)) for m in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,15 +248,17 @@ def question_overlaps(
         .unionByName(words.mapInArrow(_sketcher(width, 2 * slices), sketch.PARTIALS))
     )
     levels, of_tests, of_words = (context.broadcast(x) for x in np.split(sketch.merged(partials, 3 * width), 3))
-    index = t.select("qid", "exact", "shingles").mapInArrow(_prefix(levels, None, n, contained), _PREFIX)
-    probe = c.select("qid", "exact", "shingles").mapInArrow(_prefix(levels, of_tests, n, carried), _PREFIX)
+    index = t.select("qid", "exact", "shingles", "letters", "words", "names").mapInArrow(_prefix(levels, None, n, contained, of_words), _PREFIX + ", letters bigint")
+    probe = c.select("qid", "exact", "shingles", "letters").mapInArrow(_prefix(levels, of_tests, n, carried), _PREFIX + ", letters array<bigint>")
 
     def named(df: DataFrame, side: str) -> DataFrame:
-        return df.select("shingle", "exact", *(F.col(x).alias(f"{side}_{x}") for x in ("qid", "before", "total")))
+        return df.select("shingle", "exact", *(F.col(x).alias(f"{side}_{x}") for x in ("qid", "before", "total", "letters")))
 
+    # a name of the test stands in the candidate, if with letters swapped
+    holds = F.array_contains("c_letters", F.col("t_letters"))
     # the least weight that both must have in common; shingles before the first common one aren't in common
     needed = F.greatest(contained * F.col("t_total"), carried * F.col("c_total")) - 1e-6
-    met = named(index, "t").join(named(probe, "c"), ["shingle", "exact"]).where(F.least("t_total", "c_total") >= needed)
+    met = named(index, "t").join(named(probe, "c"), ["shingle", "exact"]).where(holds & (F.least("t_total", "c_total") >= needed))
     first = met.groupBy(F.col("t_qid").alias("t"), F.col("c_qid").alias("c"), "t_total", "c_total").agg(F.min("t_before").alias("i"), F.min("c_before").alias("j"))
     pairs = first.where(F.least(F.col("t_total") - F.col("i"), F.col("c_total") - F.col("j")) >= needed).select("t", "c", needed.alias("needed"))
 
