@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanwright.llm.near_duplicates import NearDuplicates
 from spanwright.operators.snapshot_changes import last_documents
+from spanwright.plans.anchoring import _LAST
 from spanwright.session import read_table
 
 
@@ -22,4 +23,15 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
-ORACLES: dict[str, str] = {}
+# A measure of its own, over all pairs of documents: the share of the word pairs of the longer text, outside of code,
+# tables and headings, that stand in the shorter one too.
+_PAIRS = f"""WITH {_LAST}, prose AS (
+  SELECT doc_key, regexp_replace(regexp_replace(regexp_replace(t, '(?ms)^ {{0,3}}(```|~~~)[^\\n]*\\n.*?^ {{0,3}}(```|~~~)[`~]*[ \\t]*$', ' ', 'g'),
+    '(?m)^[ \\t]*(#{{1,6}}[ \\t][^\\n]*|\\|[^\\n]*)$', ' ', 'g'), '`[^`\\n]*`', ' ', 'g') AS t FROM docs
+), words AS (SELECT doc_key, regexp_extract_all(lower(strip_accents(t)), '[\\p{{L}}\\p{{N}}]+') AS w FROM prose
+), pairs AS (SELECT DISTINCT doc_key, unnest(list_zip(w[:-2], w[2:])) AS g FROM words
+), sizes AS (SELECT doc_key, count(*) AS n FROM pairs GROUP BY 1
+), common AS (SELECT a.doc_key AS a, b.doc_key AS b, count(*) AS c FROM pairs a JOIN pairs b ON a.g = b.g AND a.doc_key < b.doc_key GROUP BY ALL)
+SELECT a AS doc_key_a, b AS doc_key_b FROM common JOIN sizes x ON x.doc_key = a JOIN sizes y ON y.doc_key = b WHERE c >= 0.55 * greatest(x.n, y.n)"""
+
+ORACLES = {"p3_found": _PAIRS}
