@@ -7,10 +7,10 @@ the reciprocal rank and the average precision are one over its rank, and nDCG is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanwright.functions.text import missing_tokens, normalize, technical_tokens
+from spanwright.functions.text import canonical_label, missing_tokens, normalize, technical_tokens
 
 RECALL_AT = (1, 3, 5, 10)
 
@@ -34,6 +34,50 @@ def grounding(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
     return joined.select("candidate_id", grounded.alias("grounded"), missing_tokens(F.col("tokens"), F.col("span")).alias("missing"))
 
 
+#: Buckets of a triage: those a benchmark takes, those to look at, and the reasons to reject.
+PRIMARY = ("factual_lookup", "identifier_lookup", "table_lookup", "cross_reference", "applicability_scoped")
+EXPLORATORY = ("multi_hop", "ambiguous_intent")
+REJECTED = ("reject_ungrounded", "reject_token_mismatch", "reject_duplicate", "reject_unanswerable")
+
+
+def triage(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``(candidate_id, bucket, primary)``: the bucket a candidate is in after the checks that need no judgement.
+
+    Rejected, in this order, are candidates that aren't grounded, whose question has technical tokens that the
+    anchor lacks, and whose question, in normal form and without regard to case, an accepted candidate with a lesser id asks
+    too. Others keep the bucket they were given, if it is one; a missing or unknown one is ``reject_unanswerable``.
+    One row for each candidate id, of rows that differ the greatest.
+    """
+    given = candidates.where("candidate_id IS NOT NULL").groupBy("candidate_id").agg(F.max(F.struct("question", "bucket")).alias("c"))
+    checked = given.select("candidate_id", F.lower(normalize(F.col("c.question"))).alias("asked"), canonical_label(F.col("c.bucket")).alias("given")).join(
+        grounding(candidates, anchors), "candidate_id"
+    )
+    known = F.col("given").isin(*PRIMARY, *EXPLORATORY, *REJECTED)
+    reason = (
+        F.when(~F.col("grounded"), "reject_ungrounded")
+        .when(F.coalesce(F.size("missing") > 0, F.lit(True)), "reject_token_mismatch")
+        .when(known & F.startswith("given", F.lit("reject_")), F.col("given"))
+        .when(~F.coalesce(known, F.lit(False)), "reject_unanswerable")
+    )
+    held = checked.withColumn("reason", reason)
+    # only the least accepted id of a question is needed, so a question that is asked often isn't gathered
+    first = held.where("reason IS NULL").groupBy("asked").agg(F.min("candidate_id").alias("first"))
+    bucket = F.coalesce("reason", F.when(F.col("candidate_id") > F.col("first"), "reject_duplicate"), "given")
+    out = held.join(first, "asked", "left").select("candidate_id", bucket.alias("bucket"))
+    return out.withColumn("primary", F.col("bucket").isin(*PRIMARY))
+
+
+def metric_deltas(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, measure, before, after, delta)`` of two tables of measures; a group that only one has keeps nulls."""
+
+    def long(df: DataFrame, name: str) -> DataFrame:
+        measures = [c for c in df.columns if c not in by]
+        rows = F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias(name)) for c in measures)))
+        return df.select(*by, rows.alias("m")).select(*by, "m.*")
+
+    return long(before, "before").join(long(after, "after"), [*by, "measure"], "full").withColumn("delta", F.col("after") - F.col("before"))
+
+
 def retrieval_metrics(hits: DataFrame, expected: DataFrame, by: list[str]) -> DataFrame:
     """Measures of ``hits(*by, test_id, rank, doc_key, latency_ms)`` against ``expected(test_id, expected_doc_key)``.
 

@@ -154,6 +154,11 @@ def tokens_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("candidate_id", "grounded", F.array_join("missing", "|").alias("missing"))
 
 
+def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bucket of each candidate after the checks that need no judgement."""
+    return G.triage(read_table(spark, sf_dir, "candidates"), read_table(spark, sf_dir, "anchors", ["anchor_ord", "span_text"]))
+
+
 def dataset_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.dataset_hash(read_table(spark, sf_dir, "test_cases", ["benchmark_id", "test_id", "question"]), ["benchmark_id"])
 
@@ -234,7 +239,7 @@ QUERIES = {
     for f in (
         observations_clean, strata, auto_generated, eligible_spans, eligible_per_document, quarter_cohorts, commits_per_quarter, drawn_documents, churn_90d,
         asof_commit, reachable_horizons, first_stale, distinct_anchors, kaplan_meier_stale, kaplan_meier_destroyed, kaplan_meier_by_stratum,
-        kaplan_meier_by_churn, survival_report, resolution_histogram, destroyed_recovery, retirement_candidates, retirements_confirmed, tokens_verbatim,
+        kaplan_meier_by_churn, survival_report, resolution_histogram, destroyed_recovery, retirement_candidates, retirements_confirmed, tokens_verbatim, triage,
         dataset_hashes, run_metrics,
     )
 }
@@ -283,6 +288,16 @@ SELECT candidate_id, coalesce({Q.normalize("quoted_span")} <> '' AND contains({Q
   CASE WHEN question IS NOT NULL AND span_text IS NOT NULL THEN array_to_string(list_filter(regexp_extract_all({Q.normalize("question")}, '{Q.TECHNICAL_TOKEN}'),
     lambda t: NOT contains({Q.normalize("span_text")}, t)), '|') END AS missing
 FROM c LEFT JOIN a USING (anchor_ord)""",
+    "triage": f"""WITH a AS (SELECT anchor_ord, max(span_text) AS span_text FROM anchors WHERE anchor_ord IS NOT NULL GROUP BY 1),
+c AS (SELECT candidate_id, (max((question, bucket)))[1] AS question, {Q.canonical_label("(max((question, bucket)))[2]")} AS given, any_value(anchor_ord) AS anchor_ord,
+  any_value(quoted_span) AS quoted_span FROM candidates WHERE candidate_id IS NOT NULL GROUP BY 1),
+n AS (SELECT candidate_id, given, {Q.normalize("question")} AS q, {Q.normalize("quoted_span")} AS quoted, {Q.normalize("span_text")} AS span FROM c LEFT JOIN a USING (anchor_ord)),
+r AS (SELECT candidate_id, given, lower(q) AS asked, CASE WHEN NOT coalesce(quoted <> '' AND contains(span, quoted), false) THEN 'reject_ungrounded'
+  WHEN coalesce(len(list_filter(regexp_extract_all(q, '{Q.TECHNICAL_TOKEN}'), lambda t: NOT contains(span, t))) > 0, true) THEN 'reject_token_mismatch'
+  WHEN given IN {G.REJECTED} THEN given WHEN given IS NULL OR given NOT IN {G.PRIMARY + G.EXPLORATORY} THEN 'reject_unanswerable' END AS reason FROM n),
+f AS (SELECT asked, min(candidate_id) AS first FROM r WHERE reason IS NULL GROUP BY 1),
+b AS (SELECT candidate_id, coalesce(reason, CASE WHEN candidate_id > first THEN 'reject_duplicate' END, given) AS bucket FROM r LEFT JOIN f USING (asked))
+SELECT candidate_id, bucket, bucket IN {G.PRIMARY} AS "primary" FROM b""",
     "dataset_hashes": """SELECT benchmark_id, sha256(string_agg(test_id || chr(0) || q || chr(10), '' ORDER BY test_id)) AS dataset_hash FROM (
   SELECT benchmark_id, test_id, max(coalesce(question, '')) AS q FROM test_cases WHERE test_id IS NOT NULL GROUP BY ALL) GROUP BY benchmark_id""",
     "run_metrics": """WITH t AS (SELECT test_id, max(benchmark_id) AS benchmark_id, max(expected_doc_key) AS e FROM test_cases WHERE test_id IS NOT NULL GROUP BY 1),
