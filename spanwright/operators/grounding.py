@@ -7,10 +7,11 @@ the reciprocal rank and the average precision are one over its rank, and nDCG is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.functions.text import canonical_label, missing_tokens, normalize, technical_tokens
+from spanwright.operators.ordered_hash import ordered_hash
 
 RECALL_AT = (1, 3, 5, 10)
 
@@ -141,7 +142,5 @@ def compare_runs(run_a: DataFrame, hits_a: DataFrame, run_b: DataFrame, hits_b:
 def dataset_hash(tests: DataFrame, by: list[str]) -> DataFrame:
     """``(*by, dataset_hash)``: SHA-256 over ``test_id NUL question NL`` of the tests in order of their ids. Repeated rows count once."""
     rows = tests.where("test_id IS NOT NULL").groupBy(*by, "test_id").agg(F.max(F.coalesce("question", F.lit(""))).alias("question"))
-    gathered = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("test_id", "question"))).alias("t"))
-    lines = F.transform("t", lambda t: F.concat(t["test_id"], F.lit("\x00"), t["question"], F.lit("\n")))
-    return gathered.select(*by, F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("dataset_hash"))
-
+    line = F.concat("test_id", F.lit("\x00"), "question", F.lit("\n"))
+    return ordered_hash(rows, by, "test_id", line).select(*by, F.col("hash").alias("dataset_hash"))

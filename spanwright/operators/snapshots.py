@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanwright.functions.markdown import LOADER, LOADER_VERSION, parse_headings
 from spanwright.functions.text import NORMALIZER_VERSION, content_hash, normalize
+from spanwright.operators.ordered_hash import ordered_hash
 
 
 class IncompatibleSnapshots(ValueError):
@@ -35,21 +37,14 @@ def load_markdown(raw: DataFrame) -> DataFrame:
     )
 
 
-def id_of(keys_and_hashes: Column, normalizer_version: str = NORMALIZER_VERSION) -> Column:
-    """Snapshot id from an array of ``struct<doc_key, content_hash>``; its order doesn't matter."""
-    lines = F.transform(F.array_sort(keys_and_hashes), lambda d: F.concat(d["doc_key"], F.lit("\x00"), d["content_hash"], F.lit("\n")))
-    return F.sha2(F.concat(F.lit(normalizer_version + "\x00"), F.array_join(lines, "")).cast("binary"), 256)
-
-
 def snapshot_ids(documents: DataFrame, by: list[str], normalizer_version: str = NORMALIZER_VERSION) -> DataFrame:
     """``(*by, content_id, n_documents)``: an id that depends on keys, contents and normalizer, not on time.
 
-    Only keys and hashes are gathered, about a hundred bytes a document; a group must fit a task. Rows
-    without key or hash are left out, a key delivered twice counts once (with its greatest hash).
+    Rows without key or hash are left out, a key delivered twice counts once (with its greatest hash).
     """
     once = documents.where("doc_key IS NOT NULL AND content_hash IS NOT NULL").groupBy(*by, "doc_key").agg(F.max("content_hash").alias("content_hash"))
-    gathered = once.groupBy(*by).agg(F.collect_list(F.struct("doc_key", "content_hash")).alias("d"))
-    return gathered.select(*by, id_of(F.col("d"), normalizer_version).alias("content_id"), F.size("d").alias("n_documents"))
+    line = F.concat("doc_key", F.lit("\x00"), "content_hash", F.lit("\n"))
+    return ordered_hash(once, by, "doc_key", line, normalizer_version + "\x00").withColumnsRenamed({"hash": "content_id", "n": "n_documents"})
 
 
 def build_snapshot(
@@ -67,8 +62,7 @@ def build_snapshot(
             raise ValueError(f"loader {row['loader']!r} has two versions")
     if snapshot_id is None or snapshot_id == "":
         ids = snapshot_ids(documents, []).collect()
-        empty = spark.range(1).select(id_of(F.array().cast("array<struct<doc_key:string,content_hash:string>>")).alias("i"))
-        snapshot_id = ids[0]["content_id"] if ids and ids[0]["content_id"] else empty.first()["i"]
+        snapshot_id = ids[0]["content_id"] if ids else hashlib.sha256(f"{NORMALIZER_VERSION}\x00".encode()).hexdigest()
     header = spark.createDataFrame(
         [(snapshot_id, captured_at or datetime.now(UTC), source, NORMALIZER_VERSION, versions or {LOADER: LOADER_VERSION})],
         "snapshot_id string, captured_at timestamp, source string, normalizer_version string, loader_versions map<string,string>",
