@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanwright.functions.markdown import fenced_regions, parse_headings
 from spanwright.functions.text import WS, normalize, py_strip, technical_tokens
+from spanwright.session import materialize
 
 # Fixed values of the study.
 MIN_SPAN, MAX_SPAN = 40, 400
@@ -64,27 +65,27 @@ def draw(df: DataFrame, by: list[str], identity: str, n: int, seed: str) -> Data
     return df.where(F.col(identity).isNotNull()).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).drop("_k")
 
 
-def as_of(left: DataFrame, left_time: str, right: DataFrame, right_time: str, right_order: str, bucket_days: int = 8) -> DataFrame:
+def as_of(left: DataFrame, left_time: str, right: DataFrame, right_time: str, right_order: str) -> DataFrame:
     """Each left row with the newest right row at or before its time; ties go to the greatest ``right_order``.
 
-    Linear, without a join by range: the distinct times of the left and the right rows are sorted together
-    in buckets of days, where each time takes the last right row above it; a time with none in its bucket
-    takes the newest of the buckets before. Left rows without time, or before any right row, get nulls.
-    Right columns that are named like left ones get the prefix ``right_``.
+    Linear, without a join by range: of the right rows one is kept for each time, and these and the distinct
+    times of the left are ranged by time into partitions of like size, however unevenly they lie. In a partition each
+    time takes the last right row above it; a time with none there takes the newest of the partitions before. Left rows without
+    time, or before any right row, get nulls. Right columns that are named like left ones get the prefix ``right_``.
     """
-    width = bucket_days * 86400
     names = right.columns
-    row = F.struct(F.col(right_time).alias("_t"), F.col(right_order).alias("_o"), *names)
-    r = right.where(F.col(right_time).isNotNull()).select(F.col(right_time).alias("_time"), F.lit(0).alias("_asks"), row.alias("r"))
+    row = F.struct(F.col(right_order).alias("_o"), *names)
+    r = right.where(F.col(right_time).isNotNull()).groupBy(F.col(right_time).alias("_time")).agg(F.max(row).alias("r")).withColumn("_asks", F.lit(0))
     asked = left.where(F.col(left_time).isNotNull()).select(F.col(left_time).alias("_time")).distinct()
-    both = r.unionByName(asked.withColumn("_asks", F.lit(1)), allowMissingColumns=True).withColumn("_bucket", F.floor(F.unix_timestamp("_time") / width))
-    above = Window.partitionBy("_bucket").orderBy("_time", "_asks", "r").rowsBetween(Window.unboundedPreceding, 0)
-    inside = both.withColumn("_own", F.last("r", ignorenulls=True).over(above)).where("_asks = 1").select("_time", "_bucket", "_own")
-    newest = both.groupBy("_bucket").agg(F.max("r").alias("_newest"))
-    # one row for each bucket of days
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = newest.select("_bucket", F.last("_newest", ignorenulls=True).over(earlier).alias("_before"))
-    found = inside.join(before, "_bucket").select("_time", F.coalesce("_own", "_before").alias("r"))
+    both = r.unionByName(asked.withColumn("_asks", F.lit(1)), allowMissingColumns=True).repartitionByRange("_time")
+    both = materialize(both.withColumn("_part", F.spark_partition_id()), "as-of")
+    above = Window.partitionBy("_part").orderBy("_time", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("_own", F.last("r", ignorenulls=True).over(above)).where("_asks = 1").select("_time", "_part", "_own")
+    newest = both.groupBy("_part").agg(F.max_by("r", F.when(F.col("r").isNotNull(), F.col("_time"))).alias("_newest"))
+    # one row for each partition
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = newest.select("_part", F.last("_newest", ignorenulls=True).over(earlier).alias("_before"))
+    found = inside.join(before, "_part").select("_time", F.coalesce("_own", "_before").alias("r"))
     out = left.join(found, F.col(left_time) == F.col("_time"), "left")
     return out.select(*left.columns, *(F.col(f"r.{c}").alias(f"right_{c}" if c in left.columns else c) for c in names))
 

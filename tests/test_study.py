@@ -138,3 +138,17 @@ def test_population_and_metadata(spark):
     seen = spark.createDataFrame([(1, "h", 7, "old"), (2, "h", 7, None)], "cohort int, span_hash string, offset_days int, doc_key string")
     about = spark.createDataFrame([(1, "h", None, "prose"), (1, "h", "d", None), (None, "h", "x", "x")], "cohort int, span_hash string, doc_key string, stratum string")
     assert {(r.cohort, r.doc_key, r.stratum) for r in R.with_anchor_metadata(seen, about).collect()} == {(1, "d", "prose"), (2, None, None)}
+
+
+def test_as_of_over_many_partitions(spark):
+    start = datetime(2024, 1, 1)
+    right = [(k, start + timedelta(hours=(k * 37) % 500 if k % 3 else 100)) for k in range(400)]
+    left = [(k, start + timedelta(minutes=61 * k)) for k in range(600)] + [(1000, start + timedelta(hours=100))] * 2
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        frames = spark.createDataFrame(left, "id int, at timestamp"), spark.createDataFrame(right, "k int, ts timestamp")
+        got = sorted((r.id, r.k) for r in K.as_of(frames[0], "at", frames[1], "ts", "k").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = [(i, max(((ts, k) for k, ts in right if ts <= at), default=(None, None))[1]) for i, at in left]
+    assert got == sorted(want)
